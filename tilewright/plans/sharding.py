@@ -1,0 +1,91 @@
+"""Splitting the few entities that hold a large part of all rows.
+
+Every per-entity operator of this package needs the rows of one entity
+together and in order.  That is fine for the many small entities and fatal
+for one that holds a third of the table.  ``split_hot`` counts rows per
+entity (a map-side combined aggregate over the key columns only), and gives
+entities above ``target_rows`` a ``shard`` number: the row's place among
+1,023 equal-count boundaries of the entity's order column.  Shards are
+disjoint and ordered, so an operator works within (entity, shard) and then
+stitches at most 1,024 summaries per entity.
+
+Bounds.  The number of hot entities is at most ``MAX_HOT`` whatever the
+table's size: an entity is hot only above ``max(target_rows, rows/MAX_HOT)``
+rows.  Their boundary arrays (1,023 values each) are what gets broadcast.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+MAX_HOT = 1000
+_FINE = 32
+SHARDS = _FINE * _FINE
+
+
+@dataclass
+class HotSplit:
+    """``cold``: rows of ordinary entities; ``hot``: rows of huge ones with
+    ``shard`` and ``_bounds``, or None where there is no huge entity."""
+
+    cold: DataFrame
+    hot: DataFrame | None
+    keys: DataFrame | None
+
+
+def shard_of(x: Column, bounds: Column) -> Column:
+    """How many of the 1,023 sorted ``bounds`` are at most ``x`` (two steps of 32)."""
+    coarse = F.size(
+        F.filter(F.sequence(F.lit(1), F.lit(_FINE - 1)), lambda k: F.element_at(bounds, k * _FINE) <= x)
+    )
+    fine = F.size(F.filter(F.slice(bounds, coarse * _FINE + 1, _FINE - 1), lambda b: b <= x))
+    return coarse * _FINE + fine
+
+
+def split_hot(
+    df: DataFrame,
+    entity: list[str],
+    order: str,
+    target_rows: int = 2_000_000,
+    sizes: DataFrame | None = None,
+) -> HotSplit:
+    """Split ``df`` into ordinary and huge entities.
+
+    ``sizes`` is the table on which rows per entity and the boundaries of
+    ``order`` are measured (default ``df``); it needs the entity columns and
+    ``order`` and may be a cheaper upstream table.  Null keys form an entity
+    of their own.
+    """
+    sizes = df if sizes is None else sizes
+    counts = sizes.groupBy(*entity).agg(F.count(F.lit(1)).alias("_n"))
+    total, largest = counts.agg(F.sum("_n"), F.max("_n")).first()
+    if largest is None or largest <= target_rows:
+        return HotSplit(df, None, None)
+    limit = max(target_rows, total // MAX_HOT)
+    names = [f"_h{i}" for i in range(len(entity))]
+    hot_keys = F.broadcast(
+        counts.where(F.col("_n") > limit).select(*[F.col(e).alias(n) for e, n in zip(entity, names)])
+    )
+
+    def same(left: DataFrame, right: DataFrame) -> Column:
+        on = F.lit(True)
+        for e, n in zip(entity, names):
+            on = on & left[e].eqNullSafe(right[n])
+        return on
+
+    fractions = [i / SHARDS for i in range(1, SHARDS)]
+    bounds = (
+        sizes.join(hot_keys, same(sizes, hot_keys), "left_semi")
+        .groupBy(*[F.col(e).alias(n) for e, n in zip(entity, names)])
+        .agg(F.percentile_approx(order, fractions, 10_000).alias("_bounds"))
+        .where(F.col("_bounds").isNotNull())
+    )
+    from .storage import materialize
+
+    bounds = F.broadcast(materialize(bounds, "bounds"))
+    cold = df.join(bounds, same(df, bounds), "left_anti")
+    hot = df.join(bounds, same(df, bounds), "inner").drop(*names)
+    return HotSplit(cold, hot.withColumn("shard", shard_of(F.col(order), F.col("_bounds"))), bounds)
