@@ -9,7 +9,7 @@ from ..plans.storage import materialize
 from ..queries.general import SQL_INTERVALS, SQL_VALID
 from ..sources import trace
 from ..sources.tables import read_table
-from . import encode, mixing, percentiles, runs
+from . import encode, mixing, percentiles, runs, subjects
 
 # -- problem 1: repeated consecutive events
 
@@ -119,6 +119,21 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.actual_shares(mixing.mix(sized, targets), mixing.source_plan(sized, targets))
 
 
+# -- problem 9: subject area of each document
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The areas each document's dispute is about."""
+    documents = read_table(spark, sf, "documents")
+    return subjects.subject_areas(documents, subjects.fit(documents, read_table(spark, sf, "doc_label")))
+
+
+def p9_composition(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus by area."""
+    found = materialize(p9_found(spark, sf), "subjects")
+    return subjects.composition(found, read_table(spark, sf, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_collapsed": p1_collapsed,
@@ -130,6 +145,8 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_composition": p9_composition,
 }
 SQL = {
     "p1_found": SQL_P1,
