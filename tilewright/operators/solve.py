@@ -44,6 +44,20 @@ def substitute(t: np.ndarray, b: np.ndarray, lower: bool, unit: bool) -> np.ndar
     return x
 
 
+def _column_solver(block: np.ndarray, lo: int, hi: int, lower: bool, unit: bool, cplx: bool):
+    """Solves one panel for one block of right-hand columns."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        cols = np.unique(pdf["j"].to_numpy())
+        place = pdf.assign(j=np.searchsorted(cols, pdf["j"].to_numpy()))
+        x = substitute(block, _dense(place, hi - lo, len(cols), lo, 0, cplx), lower, unit)
+        out = {"i": np.repeat(np.arange(lo, hi), len(cols)), "j": np.tile(cols, hi - lo)}
+        flat = x.reshape(-1)
+        return pd.DataFrame(out | ({"re": flat.real, "im": flat.imag} if cplx else {"v": flat}))
+
+    return run
+
+
 def solve_triangular(a: Matrix, b: Matrix, lower: bool, unit: bool, alpha, panel: int) -> Matrix:
     n, cplx, vals = a.nrows, a.is_complex, a.values
     tri = a.triangle("L" if lower else "U", strict=unit)
@@ -60,17 +74,8 @@ def solve_triangular(a: Matrix, b: Matrix, lower: bool, unit: bool, alpha, panel
         own = F.col("i").between(lo, hi - 1)
         block = _dense(entries.where(own & F.col("j").between(lo, hi - 1)).toPandas(), hi - lo, hi - lo, lo, lo, cplx)
 
-        def run(pdf: pd.DataFrame, t=block, lo=lo, hi=hi) -> pd.DataFrame:
-            cols = np.unique(pdf["j"].to_numpy())
-            place = pdf.assign(j=np.searchsorted(cols, pdf["j"].to_numpy()))
-            x = substitute(t, _dense(place, hi - lo, len(cols), lo, 0, cplx), lower, unit)
-            out = {"i": np.repeat(np.arange(lo, hi), len(cols)), "j": np.tile(cols, hi - lo)}
-            flat = x.reshape(-1)
-            out |= {"re": flat.real, "im": flat.imag} if cplx else {"v": flat}
-            return pd.DataFrame(out)
-
         x = rest.where(own).withColumn("_b", F.floor(F.col("j") / COLUMN_BLOCK)).groupBy("_b").applyInPandas(
-            lambda pdf, f=run: f(pdf.drop(columns="_b")), schema
+            _column_solver(block, lo, hi, lower, unit, cplx), schema
         )
         if turn < len(order) - 1:
             x = materialize(x, "panel")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 
 def all_queries() -> tuple[dict, dict]:
-    from . import general
+    from . import general, matrix, trace
 
     queries: dict = {}
     sql: dict = {}
-    for module in (general,):
+    for module in (matrix, trace, general):
         queries |= module.QUERIES
         sql |= module.SQL
     return queries, sql
