@@ -80,16 +80,11 @@ def feature_table(
         names[y] = {p: f"{stem}_{p}" for p in per}
     out_names = [*e, "n_events", "first_time", "last_time", *[names[y][p] for p in per for y in types]]
     schema = T.StructType([T.StructField(n, T.LongType()) for n in out_names])
-    fold = _Streamer(len(e), len(t), len(v), len(r), types, per)
 
     def stream(part: DataFrame, by: list[str]) -> DataFrame:
-        ordered = part.select(*e, *t, "_time", *r, *v, *[b for b in by if b not in e])
-        return (
-            ordered.repartition(*by)
-            .sortWithinPartitions(*by, *t, "_time", *r)
-            .drop(*[b for b in by if b not in e])
-            .mapInArrow(fold, schema)
-        )
+        ordered = part.select(*[F.col(b).cast("long").alias(b) for b in by], *t, "_time", *r, *v)
+        fold = _Streamer(len(e), len(by), len(t), len(r), types, per)
+        return ordered.repartition(*by).sortWithinPartitions(*by, *t, "_time", *r).mapInArrow(fold, schema)
 
     split = split_hot(rows, e, "_time", target_rows, rows.select(*e, "_time"))
     out = stream(split.cold, e)
@@ -111,12 +106,12 @@ class _Streamer:
 
     Of a batch, runs of equal (entity, type) are reduced with numpy and put
     into the entity's row; the last entity of a batch stays open until the
-    next batch shows another one.  A hot entity's shards lie in their own runs:
-    an entity that comes twice in one stream only gives two partial rows.
+    next batch shows another one.  Each shard of a hot entity is an entity
+    here (``n_by`` columns tell them apart) and gives a partial row.
     """
 
-    def __init__(self, n_e: int, n_t: int, n_v: int, n_r: int, types: list[tuple], per: list[str]):
-        self.n_e, self.n_t, self.n_v, self.n_r, self.types, self.per = n_e, n_t, n_v, n_r, types, per
+    def __init__(self, n_e: int, n_by: int, n_t: int, n_r: int, types: list[tuple], per: list[str]):
+        self.n_e, self.n_by, self.n_t, self.n_r, self.types, self.per = n_e, n_by, n_t, n_r, types, per
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(self.types)
@@ -127,7 +122,7 @@ class _Streamer:
             if b.num_rows == 0:
                 continue
             cols = [c for c in b.columns]
-            ne, nt, nr = self.n_e, self.n_t, self.n_r
+            ne, nt, nr = self.n_by, self.n_t, self.n_r
             ident = [c.to_numpy(zero_copy_only=False) for c in cols[: ne + nt + 1]]
             recs = [c.fill_null(-(2**63)).to_numpy(zero_copy_only=False) for c in cols[ne + nt + 1 : ne + nt + 1 + nr]]
             vals = [c.fill_null(0).to_numpy(zero_copy_only=False) for c in cols[ne + nt + 1 + nr :]]
@@ -210,7 +205,7 @@ class _Streamer:
         wide["last_time"][0] = max(wide["last_time"][0], old["last_time"][0])
 
     def _out(self, entity: list[np.ndarray], wide: dict) -> pa.RecordBatch:
-        arrays = [pa.array(x) for x in entity]
+        arrays = [pa.array(x) for x in entity[: self.n_e]]
         arrays += [pa.array(wide[c]) for c in ("n_events", "first_time", "last_time")]
         none = ~wide["has"]
         for p in self.per:

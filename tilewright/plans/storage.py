@@ -2,26 +2,28 @@
 
 Iterative and two-level operators cut their lineage here.  The folder is the
 one the session names in ``spark.checkpoint.dir``; only where that is unset
-(tests, a laptop) a private temporary folder is created and set.
+(tests, a laptop) a private temporary folder is made, one per application.
 """
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session; a private one only where none is set."""
     path = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tilewright-")
-        spark.conf.set(_KEY, path)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="tilewright-")
+        path = _own[app]
     return path.rstrip("/")
 
 
@@ -29,22 +31,13 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return a reader on it.
 
     The written table survives the loss of any executor, and whatever reads
-    it twice does not compute ``df`` twice.  It is removed when the session
+    it twice does not compute ``df`` twice.  It is removed when the driver
     that wrote it ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tilewright-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_drop, spark, path)
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        if jvm is None:
-            return
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may already be gone
-        pass
