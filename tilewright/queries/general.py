@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import features, intervals, schema_drift, skew
+from ..plans.storage import materialize
 from ..sources import trace
 from ..sources.tables import read_table
 
@@ -108,6 +109,7 @@ def _keyed(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """Keys (evtno, fmtid) with at least one in 200 of all valid records."""
     counts = skew.distinct_counts(_keyed(spark, sf, "file_id", "rpos"), ["evtno", "fmtid"], ["file_id", "rpos"])
+    counts = materialize(counts, "keys")  # a row per key, read twice
     total = counts.agg(F.sum("n_distinct").alias("total"))  # one row
     return (
         counts.join(F.broadcast(total))
