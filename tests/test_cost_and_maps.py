@@ -74,3 +74,15 @@ def test_storage_reads_the_session(spark, monkeypatch):
     own = storage.shared_dir(spark)
     assert own.startswith("file://") and own == storage.shared_dir(spark)
     assert storage.materialize(spark.range(3), "t").count() == 3
+
+
+def test_package_is_sent_once(spark, monkeypatch):
+    from tilewright.plans import ship
+
+    sent = []
+    monkeypatch.setattr(ship, "_sent", set())
+    monkeypatch.setattr(type(spark.sparkContext), "addPyFile", lambda self, path: sent.append(path))
+    monkeypatch.setenv("PYTHONPATH", "")
+    ship.ship(spark)
+    ship.ship(spark)
+    assert len(sent) == 1 and sent[0].endswith("tilewright.zip")
