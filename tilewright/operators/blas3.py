@@ -47,8 +47,11 @@ def _inside(region: str | None) -> Column:
     return F.col("i") >= F.col("j") if region == "L" else F.col("i") <= F.col("j")
 
 
-def _assemble(terms: list[DataFrame], c: Matrix | None, beta, like: Matrix, region: str | None, real_diagonal: bool = False) -> DataFrame:
-    """Sum of the terms and beta * C inside the region; C itself outside it."""
+def _assemble(terms: list[DataFrame], c: Matrix | None, beta, like: Matrix, region: str | None, real_diagonal: bool = False, unique: bool = False) -> DataFrame:
+    """Sum of the terms and beta * C inside the region; C itself outside it.
+
+    ``unique``: each term holds an entry once, so one term alone needs no sum.
+    """
     vals = like.values
     parts = list(terms)
     if c is not None:
@@ -62,6 +65,8 @@ def _assemble(terms: list[DataFrame], c: Matrix | None, beta, like: Matrix, regi
     if not parts:
         empty = like.doubles().limit(0)
         return like.cast(empty)
+    if unique and len(parts) == 1 and not real_diagonal:
+        return like.cast(parts[0])
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -94,14 +99,16 @@ def gemm(a: Matrix, b: Matrix, c: Matrix | None = None, alpha=1.0, beta=0.0, tra
     _check("gemm", c is None or (c.nrows, c.ncols) == (m, n), "C", -13)
     if planner.gemm_is_noop(m, n, k, alpha, beta) and c is not None:
         return c
+    tiled = False
     if alpha == 0 or k == 0:
         terms = []
     elif planner.product_method(method, left, right) == "tile":
+        tiled = True
         product = tiles.multiply(left, right)
         terms = [product if alpha == 1 else product.select("i", "j", *scaled(a.values, alpha))]
     else:
         terms = [_pairs(left, right, alpha)]
-    return Matrix(_assemble(terms, c, beta, a, None), m, n, a.dtype)
+    return Matrix(_assemble(terms, c, beta, a, None, unique=tiled), m, n, a.dtype)
 
 
 def gemmt(a: Matrix, b: Matrix, c: Matrix | None = None, uplo="L", alpha=1.0, beta=0.0, transa="N", transb="N") -> Matrix:
