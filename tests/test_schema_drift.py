@@ -84,6 +84,43 @@ def test_consistent_table(spark):
     assert rows[1]["header_b"] == rows[2]["header_b"] == "x" and rows[3]["header_a"] is None and rows[2]["header_a"] == "2"
 
 
+def test_consistent_table_holds_each_section(spark):
+    files = [
+        file(1, {"a": 1}, {"0": " work ", "10": "idle"}, [{"id": 1, "name": "p"}, {"id": 2, "name": None}]),
+        file(2, {"a": 2}, {"0": "Work\t", "2": None}, [{"id": 3, "label": "p", "x": [1]}, {"id": 4, "label": None, "x": {"y": 2}}]),
+        file(3, '{"a": 3} x', '{"0": "wor', '[{"id": 1}'),
+        file(4, {}, '{"0": "x"}}', "[1]"),
+        file(5, None, "[]", []),
+    ]
+    table = schema_drift.consistent_table(spark.createDataFrame(files + files[:2], SCHEMA))
+    assert table.columns[4:] == [
+        "header_a", "perfcounter_name_0", "perfcounter_name_2", "perfcounter_name_10", "fmtdefs_id", "fmtdefs_label", "fmtdefs_x"
+    ]
+    rows = {r.file_id: tuple(r)[4:] for r in table.collect()}
+    assert rows.pop(1) == ("1", "work", None, "idle", ["1", "2"], ["p", None], None)
+    assert rows.pop(2) == ("2", "Work", None, None, ["3", "4"], ["p", None], ["[1]", '{"y":2}'])
+    assert rows == {i: (None,) * 7 for i in (3, 4, 5)}
+
+
+@pytest.mark.parametrize("section", schema_drift.SECTIONS)
+def test_p2_table_has_the_section(spark, section):
+    """Every readable text of the smallest tables comes out, field by field."""
+    from tilewright.queries.general import p2_table
+
+    sf = "/root/testdata/sf0.001"
+    rows = {r.file_id: {c: v for c, v in r.asDict().items() if c.startswith(f"{section}_")} for r in p2_table(spark, sf).collect()}
+    texts = {r.file_id: r[section] for r in spark.read.parquet(f"{sf}/event_file.parquet").collect()}
+    read = {i: schema_drift.read_section(section, t) for i, t in texts.items()}
+    assert rows.keys() == read.keys() and any(read.values())
+    for i, fields in read.items():
+        known = [v for v in rows[i].values() if v is not None]
+        assert len(known) == sum(1 for f in (fields or {}).values() if section == "fmtdefs" or f[1] is not None)
+        if section == "perfcounter_name":
+            assert {c: v for c, v in rows[i].items() if v is not None} == {f"{section}_{n}": f[1] for n, f in (fields or {}).items() if f[1] is not None}
+        if section == "fmtdefs":
+            assert {len(v) for v in known} <= {len(json.loads(texts[i]))} if fields else not known
+
+
 def leaf(name, kind="integer", content="1"):
     return Node(name, kind, content)
 

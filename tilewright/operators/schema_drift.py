@@ -228,35 +228,58 @@ def rename_map(changes: DataFrame, section: str = "header") -> dict[str, str]:
     return {n: min(g) for n, g in group.items()}
 
 
-def consistent_table(files: DataFrame, section: str = "header", target_files: int = 100_000) -> DataFrame:
-    """One row per file, one column per field of the section, all as JSON text.
-
-    Fields that were renamed share one column (``coalesce`` over its names);
-    files in which the section is not readable have nulls throughout, fields a
-    file lacks are null.  Columns are prefixed with the section's name.
+def consistent_table(files: DataFrame, sections: tuple[str, ...] = SECTIONS, target_files: int = 100_000) -> DataFrame:
+    """One row per file, one column per field of each section.
+
+    Header fields come as JSON text, counters by their number as the name
+    without blanks around, fields of the entries as the list of their values
+    (JSON text each) in the order of the entries.  Header and entry fields that
+    were renamed share one column (``coalesce`` over its names).  Files in which
+    a section is not readable have nulls throughout it, fields a file lacks are
+    null.  Columns are prefixed with the section's name.
     """
-    changes = materialize(schema_changes(files, (section,), target_files), "changes")
-    renames = rename_map(changes, section)
-    kind = "map<string,string>"
-    parsed = files.select("file_id", "fileset_id", "file_name", "written_ts", section).dropDuplicates(["file_id"]).select(
-        "file_id", "fileset_id", "file_name", "written_ts",
-        F.from_json(F.when(_complete(F.col(section)), F.col(section)), kind).alias("_m"),
+    changes = materialize(schema_changes(files, sections, target_files), "changes")
+    ids = ("file_id", "fileset_id", "file_name", "written_ts")
+    parsed = files.select(*ids, *sections).dropDuplicates(["file_id"]).select(
+        *ids, *[F.from_json(F.when(_readable(s), F.col(s)), _KINDS[s]).alias(f"_{s}") for s in sections]
     )
-    names = [
-        r[0] for r in parsed.select(F.explode(F.map_keys("_m"))).distinct().limit(MAX_FIELDS + 1).collect()
-    ]
-    if len(names) > MAX_FIELDS:
-        raise ValueError(f"more than {MAX_FIELDS} fields in {section}")
-    groups: dict[str, list[str]] = {}
-    for n in sorted(names):
-        groups.setdefault(renames.get(n, n), []).append(n)
-    columns = [
-        F.coalesce(*[F.element_at("_m", F.lit(n)) for n in sorted(olds)]).alias(f"{section}_{canonical}")
-        for canonical, olds in sorted(groups.items())
-    ]
-    return parsed.select("file_id", "fileset_id", "file_name", "written_ts", *columns)
-
-
-def _complete(text):
-    """Whether the text is a JSON object that is not cut off."""
-    return F.json_object_keys(text).isNotNull()
+    named = parsed.select(F.explode(F.array(*[F.struct(F.lit(s).alias("s"), _names(s).alias("n")) for s in sections])).alias("_f"))
+    found = named.select("_f.s", F.explode("_f.n").alias("n")).distinct().limit(MAX_FIELDS + 1).collect()
+    if len(found) > MAX_FIELDS:
+        raise ValueError(f"more than {MAX_FIELDS} fields in {', '.join(sections)}")
+    columns = []
+    for s in sections:
+        # a counter is known by its number, which no rename changes
+        renames = {} if s == "perfcounter_name" else rename_map(changes, s)
+        groups: dict[str, list[str]] = {}
+        for n in sorted(r.n for r in found if r.s == s):
+            groups.setdefault(renames.get(n, n), []).append(n)
+        columns += [
+            F.coalesce(*[_value(s, n) for n in names]).alias(f"{s}_{canonical}")
+            for canonical, names in sorted(groups.items(), key=lambda g: (g[0].isdecimal() and len(g[0]), g[0]))
+        ]
+    return parsed.select(*ids, *columns)
+
+
+_KINDS = {"header": "map<string,string>", "perfcounter_name": "map<string,string>", "fmtdefs": "array<map<string,string>>"}
+
+
+def _readable(section: str):
+    """Whether the section's text is readable, by the same reader as the changes."""
+    return F.pandas_udf(lambda texts: texts.map(lambda t: read_section(section, t) is not None).astype(bool), "boolean")(F.col(section))
+
+
+def _names(section: str):
+    """The names of a parsed section's fields."""
+    m = F.col(f"_{section}")
+    return F.array_distinct(F.flatten(F.transform(m, F.map_keys))) if section == "fmtdefs" else F.map_keys(m)
+
+
+def _value(section: str, name: str):
+    """A field of a parsed section, null where the file lacks it."""
+    m, name = F.col(f"_{section}"), F.lit(name)
+    if section == "fmtdefs":
+        held = F.exists(m, lambda e: F.map_contains_key(e, name))
+        return F.when(held, F.transform(m, lambda e: F.element_at(e, name)))
+    value = F.element_at(m, name)
+    return F.regexp_replace(value, r"(?U)^\s+|\s+$", "") if section == "perfcounter_name" else value

@@ -19,7 +19,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_table(spark: SparkSession, sf: str) -> DataFrame:
-    """All headers as one table, a renamed field in one column."""
+    """All three sections of all files as one table, a renamed field in one column."""
     return schema_drift.consistent_table(read_table(spark, sf, "event_file"))
 
 
