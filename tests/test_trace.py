@@ -73,6 +73,17 @@ def test_intervals(spark):
     assert got == [(1, 1, 2, 7, 10, 20, 5), (1, 1, 8, 7, 30, 31, 0)]
 
 
+def test_intervals_of_an_id_used_again(spark):
+    """Every start with every later end, as in the queries' SQL."""
+    rows = [
+        (0, 2, 3, 1, 5, 7, 4, 0, 0),  # an end before all starts
+        (1, 2, 2, 1, 10, 7, 0, 0, 0), (2, 2, 3, 1, 20, 7, 5, 0, 0), (3, 2, 2, 1, 30, 7, 0, 0, 0), (4, 2, 3, 1, 40, 7, 6, 0, 0),
+        (5, 2, 2, 1, 30, 7, 0, 0, 0),  # another record of the same date
+    ]
+    got = sorted(tuple(r)[4:] for r in trace.intervals(events(spark, rows + rows[1:4])).collect())
+    assert got == [(10, 20, 5), (10, 40, 6), (30, 40, 6), (30, 40, 6)]
+
+
 def test_statistics_and_csv(spark, tmp_path):
     formats, procs = lookups(spark)
     e = events(spark, [(0, 2, 0, 1, 10, 77, 5, 0, 0), (1, 2, 3, 1, 30, 77, 5, 0, 8), (2, 2, 0, 2, 10, 78, 5, 0, 0), (3, 2, 3, 2, 30, 78, 5, 0, 9)])

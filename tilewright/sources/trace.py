@@ -43,11 +43,11 @@ def intervals(events: DataFrame, evtnos: tuple[int, ...] = (TASK, COPY, KERNEL))
 
     Start and end are valid records of one (file_id, kid) with equal evtno and
     equal non-null d0: tasks from kind 2 to kind 3, copies and kernels from
-    kind 1 to kind 2, the end's date above the start's.  Within one file d0
-    names one task, copy or kernel; should it occur again for the same kid,
-    the earliest start and the earliest end count.  Repeated deliveries do not
-    matter: minima ignore them, so no separate pass removes them, and Spark
-    combines before the shuffle.  The key holds d0, so no key is large.
+    kind 1 to kind 2, the end's date above the start's.  Where d0 occurs again
+    for the same kid, every start is paired with every later end.  Repeated
+    deliveries fall together in the sets of records, so no separate pass
+    removes them, and Spark combines before the shuffle.  The key holds d0, so
+    no key is large unless one id is used again and again within a file.
     """
     starts, ends = [], []
     for e in evtnos:
@@ -62,13 +62,17 @@ def intervals(events: DataFrame, evtnos: tuple[int, ...] = (TASK, COPY, KERNEL))
         return out
 
     is_start, is_end = any_of(starts), any_of(ends)
+    keys = ("file_id", "kid", "evtno", "d0")
     return (
         events.where(is_valid() & F.col("d0").isNotNull() & F.col("evtno").isin(*evtnos) & (is_start | is_end))
-        .groupBy("file_id", "kid", "evtno", "d0")
+        .groupBy(*keys)
         .agg(
-            F.min(F.when(is_start, F.col("date"))).alias("start"),
-            F.min(F.when(is_end, F.col("date"))).alias("end"),
-            F.max(F.when(is_end, F.col("d1"))).alias("end_d1"),
+            F.collect_set(F.when(is_start, F.struct("date", "rpos"))).alias("_starts"),
+            F.collect_set(F.when(is_end, F.struct("date", "rpos", "d1"))).alias("_ends"),
         )
+        .where((F.size("_starts") > 0) & (F.size("_ends") > 0))
+        .select(*keys, F.explode("_starts").alias("_s"), "_ends")
+        .select(*keys, F.col("_s.date").alias("start"), F.explode("_ends").alias("_e"))
+        .select(*keys, "start", F.col("_e.date").alias("end"), F.col("_e.d1").alias("end_d1"))
         .where(F.col("start") < F.col("end"))
     )
