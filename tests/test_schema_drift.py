@@ -102,6 +102,16 @@ def test_consistent_table_holds_each_section(spark):
     assert rows == {i: (None,) * 7 for i in (3, 4, 5)}
 
 
+def test_names_held_by_one_file_keep_their_columns(spark):
+    files = [
+        file(1, {"a": "x"}, None, [{"p": 1}]), file(2, {"b": "x"}, None, [{"q": 1}]), file(3, {"c": "x"}, None, [{"q": 1}]),
+        file(4, {"a": 1, "b": 2}, None, [{"p": 3, "q": 4}], fileset=2),
+    ]
+    table = schema_drift.consistent_table(spark.createDataFrame(files, SCHEMA))
+    assert {r.file_id: tuple(r)[4:] for r in table.collect()}[4] == ("1", "2", ["3"], ["4"])
+    assert table.columns[4:] == ["header_a", "header_b", "fmtdefs_p", "fmtdefs_q"]
+
+
 @pytest.mark.parametrize("section", schema_drift.SECTIONS)
 def test_p2_table_has_the_section(spark, section):
     """Every readable text of the smallest tables comes out, field by field."""

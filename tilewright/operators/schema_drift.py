@@ -22,7 +22,7 @@ same instant are taken by file_id.  An empty table gives no changes.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -206,23 +206,29 @@ def schema_changes(files: DataFrame, sections: tuple[str, ...] = SECTIONS, targe
     return out.unionByName(stream(hot.unionByName(opening, allowMissingColumns=True), "changes", CHANGE_SCHEMA))
 
 
-def rename_map(changes: DataFrame, section: str = "header") -> dict[str, str]:
+def rename_map(changes: DataFrame, section: str = "header", together: Callable[[list[str]], list[set[str]]] | None = None) -> dict[str, str]:
     """Old name to latest name of a section's fields over all filesets.
 
     Names of fields are few whatever the number of files; the list is read
     with a bound of ``MAX_FIELDS``, above which it is an error.  Where two
     fields end under one name, or renames run in a circle, the
-    alphabetically first name stands for all of them.
+    alphabetically first name stands for all of them.  ``together`` gives, of
+    the renamed names, the sets that one file holds at once: they are different
+    fields and are never joined.  The most frequent renames come first.
     """
     pairs = (
         changes.where((F.col("section") == section) & (F.col("change") == "renamed"))
-        .select("old_field", "field").distinct().limit(MAX_FIELDS + 1).collect()
+        .groupBy("old_field", "field").count().limit(MAX_FIELDS + 1).collect()
     )
     if len(pairs) > MAX_FIELDS:
         raise ValueError(f"more than {MAX_FIELDS} renames in {section}")
+    pairs = [(a, b) for _, a, b in sorted((-n, a, b) for a, b, n in pairs)]
+    apart = together(sorted({n for pair in pairs for n in pair})) if together and pairs else []
     group: dict[str, set[str]] = {}
     for a, b in pairs:
         joined = group.get(a, {a}) | group.get(b, {b})
+        if any(len(joined & held) > 1 for held in apart):
+            continue
         for n in joined:
             group[n] = joined
     return {n: min(g) for n, g in group.items()}
@@ -234,9 +240,10 @@ def consistent_table(files: DataFrame, sections: tuple[str, ...] = SECTIONS, tar
     Header fields come as JSON text, counters by their number as the name
     without blanks around, fields of the entries as the list of their values
     (JSON text each) in the order of the entries.  Header and entry fields that
-    were renamed share one column (``coalesce`` over its names).  Files in which
-    a section is not readable have nulls throughout it, fields a file lacks are
-    null.  Columns are prefixed with the section's name.
+    were renamed share one column (``coalesce`` over its names), unless one file
+    holds two of the names: those keep a column each, so that no value is lost.
+    Files in which a section is not readable have nulls throughout it, fields a
+    file lacks are null.  Columns are prefixed with the section's name.
     """
     changes = materialize(schema_changes(files, sections, target_files), "changes")
     ids = ("file_id", "fileset_id", "file_name", "written_ts")
@@ -250,7 +257,7 @@ def consistent_table(files: DataFrame, sections: tuple[str, ...] = SECTIONS, tar
     columns = []
     for s in sections:
         # a counter is known by its number, which no rename changes
-        renames = {} if s == "perfcounter_name" else rename_map(changes, s)
+        renames = {} if s == "perfcounter_name" else rename_map(changes, s, lambda names, s=s: _held_together(parsed, s, names))
         groups: dict[str, list[str]] = {}
         for n in sorted(r.n for r in found if r.s == s):
             groups.setdefault(renames.get(n, n), []).append(n)
@@ -275,6 +282,14 @@ def _names(section: str):
     return F.array_distinct(F.flatten(F.transform(m, F.map_keys))) if section == "fmtdefs" else F.map_keys(m)
 
 
+def _held_together(parsed: DataFrame, section: str, names: list[str]) -> list[set[str]]:
+    """Pairs of ``names`` that one file holds at once, at most names squared."""
+    held = parsed.select(F.array_intersect(_names(section), F.array(*[F.lit(n) for n in names])).alias("n")).where(F.size("n") > 1)
+    a = held.select("n", F.explode("n").alias("a"))
+    pairs = a.select("a", F.explode("n").alias("b")).where("a < b").distinct()
+    return [set(r) for r in pairs.collect()]
+
+
 def _value(section: str, name: str):
     """A field of a parsed section, null where the file lacks it."""
     m, name = F.col(f"_{section}"), F.lit(name)
