@@ -34,3 +34,13 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", ["extend_add_whole", "extend_add_packed_whole"])
+def test_extend_add_of_the_whole_son(spark, name):
+    from tilewright.queries.matrix import fixture
+
+    total = lambda df: df.agg({"v": "sum"}).first()[0]
+    son = fixture(spark, SF, "r").df.where("j <= i")
+    assert son.where("i >= 20").count() > 0  # what a cut at 20 leaves out
+    assert total(QUERIES[name](spark, SF)) == total(fixture(spark, SF, "s").df) + total(son)

@@ -324,8 +324,8 @@ _register(
 _INDEX = "SELECT range AS pos, (range * 7) % 31 + 1 AS idx FROM range(20)"
 
 
-def _index(spark: SparkSession) -> DataFrame:
-    return spark.range(20).select(F.col("id").alias("pos"), ((F.col("id") * 7) % 31 + 1).alias("idx"))
+def _index(spark: SparkSession, n: int = 20) -> DataFrame:
+    return spark.range(n).select(F.col("id").alias("pos"), ((F.col("id") * 7) % 31 + 1).alias("idx"))
 
 
 def extend_add(spark: SparkSession, sf: str) -> DataFrame:
@@ -344,6 +344,21 @@ SELECT i, j, sum(v) AS v FROM (SELECT i, j, v FROM s UNION ALL
  SELECT x.idx - 1, y.idx - 1, r.v FROM r JOIN iw x ON r.i = x.pos JOIN iw y ON r.j = y.pos WHERE r.j <= r.i) GROUP BY i, j"""
 _register("extend_add", extend_add, _EXTEND_SQL)
 _register("extend_add_packed", extend_add_packed, _EXTEND_SQL)
+
+
+def extend_add_whole(spark: SparkSession, sf: str, packed: bool = False) -> DataFrame:
+    """The whole 31 x 31 son, its index being a permutation of the front."""
+    son = fixture(spark, sf, "r").df
+    if packed:
+        son = son.where("j <= i").select((F.col("i") * (F.col("i") + 1) / 2 + F.col("j")).cast("long").alias("id"), "v")
+    return frontal.extend_add(fixture(spark, sf, "s"), son, _index(spark, 31), packed=packed).df
+
+
+_EXTEND_WHOLE_SQL = f"""WITH {_fixture_sql('s')}, {_fixture_sql('r')}, iw AS (SELECT range AS pos, (range * 7) % 31 + 1 AS idx FROM range(31))
+SELECT i, j, sum(v) AS v FROM (SELECT i, j, v FROM s UNION ALL
+ SELECT x.idx - 1, y.idx - 1, r.v FROM r JOIN iw x ON r.i = x.pos JOIN iw y ON r.j = y.pos WHERE r.j <= r.i) GROUP BY i, j"""
+_register("extend_add_whole", extend_add_whole, _EXTEND_WHOLE_SQL)
+_register("extend_add_packed_whole", lambda spark, sf: extend_add_whole(spark, sf, packed=True), _EXTEND_WHOLE_SQL)
 _register(
     "swap_columns",
     lambda spark, sf: frontal.swap_columns(fixture(spark, sf, "a"), 3, 28).df,
