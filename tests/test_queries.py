@@ -44,3 +44,8 @@ def test_extend_add_of_the_whole_son(spark, name):
     son = fixture(spark, SF, "r").df.where("j <= i")
     assert son.where("i >= 20").count() > 0  # what a cut at 20 leaves out
     assert total(QUERIES[name](spark, SF)) == total(fixture(spark, SF, "s").df) + total(son)
+
+
+def test_p6_record_statistics_counts_a_record_once(spark, duck):
+    records = duck.execute("SELECT count(*) FROM (SELECT DISTINCT file_id, rpos FROM kaapi_event WHERE kid IS NOT NULL AND date > 0)").fetchone()[0]
+    assert QUERIES["p6_record_statistics"](spark, SF).agg({"n": "sum"}).first()[0] == records

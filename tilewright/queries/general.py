@@ -119,10 +119,16 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows, distinct kids, modal kid and percentiles of kid per (evtno, fmtid)."""
+    """Deliveries, distinct kids, modal kid and percentiles of kid per (evtno, fmtid); repeated deliveries count."""
     return skew.key_statistics(_keyed(spark, sf, "kid"), ["evtno", "fmtid"], "kid", (0.5, 0.9))
 
 
+def p6_record_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """The same of valid records, each (file_id, rpos) counted once."""
+    records = _keyed(spark, sf, "file_id", "rpos", "kid").dropDuplicates(["file_id", "rpos"])
+    return skew.key_statistics(records, ["evtno", "fmtid"], "kid", (0.5, 0.9))
+
+
 _SQL_FMTID = "CASE WHEN evtno = 2 THEN d1 WHEN evtno = 8 AND kind = 0 THEN coalesce(d2, 0) ELSE 0 END"
 SQL_P6 = f"""WITH {SQL_VALID}, k AS (SELECT evtno, {_SQL_FMTID} AS fmtid FROM valid)
 SELECT evtno, fmtid FROM k WHERE fmtid IS NOT NULL GROUP BY evtno, fmtid
@@ -134,6 +140,10 @@ SELECT k.evtno, k.fmtid, count(*) AS n, count(DISTINCT k.kid) AS n_distinct, max
  quantile_disc(k.kid, 0.5) AS p50, quantile_disc(k.kid, 0.9) AS p90
 FROM k JOIN m ON k.evtno = m.evtno AND k.fmtid IS NOT DISTINCT FROM m.fmtid AND m.r = 1 GROUP BY k.evtno, k.fmtid"""
 
+SQL_P6_RECORD_STATISTICS = f"WITH {SQL_VALID}, " + SQL_P6_STATISTICS.removeprefix("WITH ").replace(
+    "kaapi_event WHERE kid IS NOT NULL AND date > 0", "valid"
+)
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_table": p2_table,
@@ -143,6 +153,7 @@ QUERIES = {
     "p5_periods": p5_periods,
     "p6_found": p6_found,
     "p6_statistics": p6_statistics,
+    "p6_record_statistics": p6_record_statistics,
 }
 SQL = {
     "p4_found": SQL_P4,
@@ -150,4 +161,5 @@ SQL = {
     "p5_periods": SQL_P5_PERIODS,
     "p6_found": SQL_P6,
     "p6_statistics": SQL_P6_STATISTICS,
+    "p6_record_statistics": SQL_P6_RECORD_STATISTICS,
 }
