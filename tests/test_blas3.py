@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tilewright.operators import blas3, frontal
-from tilewright.operators.solve import substitute
+from tilewright.operators import blas3, frontal, tiles
+from tilewright.operators.tiles import Block, substitute
 from tilewright.plans.matrix import ArgumentError, Matrix, from_table
 
 TYPES = {"s": np.float32, "d": np.float64, "c": np.complex64, "z": np.complex128}
@@ -60,17 +60,38 @@ def test_gemm_flags_and_tiles(spark, rng, ta, tb):
         assert np.array_equal(dense(blas3.gemm(x, y, None, 1.0, 0.0, ta, tb, method)), a @ b)
 
 
-@pytest.mark.parametrize("n", [1, 3, 4, 5, 9])
-def test_tiles_ragged(spark, rng, n):
-    from tilewright.operators import tiles
+FORMS = [("coo", 0), ("tile", 2), ("tile", 3)]
 
-    a, b = ints(rng, (n, n + 1)), ints(rng, (n + 1, n + 2))
-    got = Matrix(tiles.multiply(make(spark, a), make(spark, b), tile=4), n, n + 2)
-    assert np.array_equal(dense(got), a @ b)
+
+@pytest.mark.parametrize("n,side,splits", [(1, None, None), (3, None, None), (4, 1, 2), (5, 2, 1), (9, 2, 3), (9, 1, 1)])
+def test_tiles_ragged(spark, rng, n, side, splits):
+    a, b, c = ints(rng, (n, n + 1)), ints(rng, (n + 1, n + 2)), ints(rng, (n, n + 2))
+    terms = [tiles.Term(make(spark, a), make(spark, b), 2.0), tiles.Term(make(spark, a), make(spark, b.T), 1.0, "T")]
+    got = Matrix(tiles.multiply(terms, make(spark, c), tile=4, side=side, splits=splits), n, n + 2)
+    assert np.array_equal(dense(got), 3 * a @ b + c)
     packed = tiles.pack(make(spark, a), 4)
     assert np.array_equal(dense(Matrix(tiles.unpack(packed, False, 4), n, n + 1)), a)
 
 
+@pytest.mark.parametrize("form", FORMS[1:])
+def test_absent_entries_and_nan(spark, form):
+    """Both forms give the same rows: absent pairs give none, and NaN meets only what it is multiplied with."""
+    entries = [(0, 0, float("nan")), (1, 1, 2.0), (3, 2, float("inf")), (4, 4, 0.0)]
+    a = Matrix(spark.createDataFrame(entries, "i long, j long, v double"), 5, 5)
+    b = Matrix(spark.createDataFrame([(0, 0, 1.0), (1, 1, 3.0), (2, 0, 1.0), (4, 3, 5.0)], "i long, j long, v double"), 5, 5)
+    rows = lambda m: sorted((r.i, r.j, repr(r.v)) for r in m.df.collect())
+    for run in (lambda m: blas3.gemm(a, b, method=m, tile=form[1]), lambda m: blas3.syrk(a, b, "L", "T", 2.0, 3.0, m, form[1])):
+        assert rows(run(form[0])) == rows(run("coo"))
+
+
+def test_blocks_and_tasks():
+    assert tiles.block_side(16, 16, 8, False) == 5 and tiles.block_side(1, 1, 8, False) == 1
+    for mt in (1, 7, 64, 1000):
+        for lanes in (4, 200):
+            side = tiles.block_side(mt, mt, lanes, True)
+            assert side == 1 or (-(-mt // side)) * (-(-mt // side) + 1) // 2 >= lanes
+
+
 def test_gemm_contracts(spark, rng):
     a, b = ints(rng, (3, 2)), ints(rng, (2, 3))
     bad = np.full((3, 3), np.nan)
@@ -85,38 +106,38 @@ def test_gemm_contracts(spark, rng):
     assert np.array_equal(dense(blas3.gemm(empty, Matrix(B.df.limit(0), 0, 3))), np.zeros((3, 3)))
 
 
-@pytest.mark.parametrize("uplo", ["L", "U", 0])
-def test_gemmt(spark, rng, uplo):
+@pytest.mark.parametrize("uplo,form", list(itertools.product(["L", "U", 0], FORMS)))
+def test_gemmt(spark, rng, uplo, form):
     a, b, c = ints(rng, (5, 3)), ints(rng, (3, 5)), ints(rng, (5, 5))
     full = 2 * a @ b + 3 * c
     expected = {"L": np.tril(full) + np.triu(c, 1), "U": np.triu(full) + np.tril(c, -1), 0: full}[uplo]
-    assert np.array_equal(dense(blas3.gemmt(make(spark, a), make(spark, b), make(spark, c), uplo, 2.0, 3.0)), expected)
+    assert np.array_equal(dense(blas3.gemmt(make(spark, a), make(spark, b), make(spark, c), uplo, 2.0, 3.0, "N", "N", *form)), expected)
 
 
-@pytest.mark.parametrize("uplo,trans", list(itertools.product("LU", "NT")))
-def test_syrk_syr2k(spark, rng, uplo, trans):
+@pytest.mark.parametrize("uplo,trans,form", list(itertools.product("LU", "NT", FORMS)))
+def test_syrk_syr2k(spark, rng, uplo, trans, form):
     a, b, c = ints(rng, (5, 3)), ints(rng, (5, 3)), ints(rng, (5, 5))
     part = (lambda f: np.tril(f) + np.triu(c, 1)) if uplo == "L" else (lambda f: np.triu(f) + np.tril(c, -1))
     x, y = (make(spark, m if trans == "N" else m.T) for m in (a, b))
-    assert np.array_equal(dense(blas3.syrk(x, make(spark, c), uplo, trans, 2.0, 3.0)), part(2 * a @ a.T + 3 * c))
-    assert np.array_equal(dense(blas3.syr2k(x, y, make(spark, c), uplo, trans, 2.0, 3.0)), part(2 * (a @ b.T + b @ a.T) + 3 * c))
+    assert np.array_equal(dense(blas3.syrk(x, make(spark, c), uplo, trans, 2.0, 3.0, *form)), part(2 * a @ a.T + 3 * c))
+    assert np.array_equal(dense(blas3.syr2k(x, y, make(spark, c), uplo, trans, 2.0, 3.0, *form)), part(2 * (a @ b.T + b @ a.T) + 3 * c))
 
 
-@pytest.mark.parametrize("uplo,trans", list(itertools.product("LU", "NC")))
-def test_herk_her2k(spark, rng, uplo, trans):
+@pytest.mark.parametrize("uplo,trans,form", list(itertools.product("LU", "NC", FORMS[:2])))
+def test_herk_her2k(spark, rng, uplo, trans, form):
     a, b, c = ints(rng, (4, 3), "z"), ints(rng, (4, 3), "z"), ints(rng, (4, 4), "z")
     c0 = c - 1j * np.diag(c.diagonal().imag)  # the diagonal of C is real
     part = (lambda f: np.tril(f) + np.triu(c, 1)) if uplo == "L" else (lambda f: np.triu(f) + np.tril(c, -1))
     x, y = (make(spark, m if trans == "N" else m.conj().T, "z") for m in (a, b))
     C = make(spark, c, "z")
-    assert np.array_equal(dense(blas3.herk(x, C, uplo, trans, 2.0, 3.0)), part(2 * a @ a.conj().T + 3 * c0))
+    assert np.array_equal(dense(blas3.herk(x, C, uplo, trans, 2.0, 3.0, *form)), part(2 * a @ a.conj().T + 3 * c0))
     al = 2 + 1j
     full = al * a @ b.conj().T + al.conjugate() * b @ a.conj().T + 3 * c0
-    assert np.array_equal(dense(blas3.her2k(x, y, C, uplo, trans, al, 3.0)), part(full))
+    assert np.array_equal(dense(blas3.her2k(x, y, C, uplo, trans, al, 3.0, *form)), part(full))
 
 
-@pytest.mark.parametrize("side,uplo", list(itertools.product("LR", "LU")))
-def test_symm_hemm(spark, rng, side, uplo):
+@pytest.mark.parametrize("side,uplo,form", list(itertools.product("LR", "LU", FORMS[:2])))
+def test_symm_hemm(spark, rng, side, uplo, form):
     s = ints(rng, (4, 4), "z")
     tri = np.tril(s) if uplo == "L" else np.triu(s)
     strict = tri - np.diag(tri.diagonal())
@@ -125,8 +146,8 @@ def test_symm_hemm(spark, rng, side, uplo):
     b = ints(rng, (4, 3) if side == "L" else (3, 4), "z")
     mul = (lambda m: m @ b) if side == "L" else (lambda m: b @ m)
     A = make(spark, np.where(np.tril(np.ones((4, 4))) if uplo == "L" else np.triu(np.ones((4, 4))), tri, other), "z")
-    assert np.array_equal(dense(blas3.symm(A, make(spark, b, "z"), None, side, uplo, 1 + 1j)), (1 + 1j) * mul(sym))
-    assert np.array_equal(dense(blas3.hemm(A, make(spark, b, "z"), make(spark, b, "z"), side, uplo, 2.0, 3.0)), 2 * mul(her) + 3 * b)
+    assert np.array_equal(dense(blas3.symm(A, make(spark, b, "z"), None, side, uplo, 1 + 1j, 0.0, *form)), (1 + 1j) * mul(sym))
+    assert np.array_equal(dense(blas3.hemm(A, make(spark, b, "z"), make(spark, b, "z"), side, uplo, 2.0, 3.0, *form)), 2 * mul(her) + 3 * b)
 
 
 CASES = list(itertools.product("LR", "LU", "NTC", "NU"))
@@ -142,9 +163,10 @@ def test_trmm_trsm(spark, rng, side, uplo, trans, diag):
     x = ints(rng, (n, 3) if side == "L" else (3, n), "z")
     b = op(tri, trans) @ x if side == "L" else x @ op(tri, trans)
     A = make(spark, a, "z")
-    assert np.array_equal(dense(blas3.trmm(A, make(spark, x, "z"), side, uplo, trans, diag, 2.0)), 2 * b)
-    for panel in (3, 64) if diag == "U" and trans == "N" else (64,):
-        assert np.allclose(dense(blas3.trsm(A, make(spark, b, "z"), side, uplo, trans, diag, 2.0, panel)), 2 * x, atol=1e-9)
+    for form in (("coo", 0), ("tile", 3)):
+        assert np.array_equal(dense(blas3.trmm(A, make(spark, x, "z"), side, uplo, trans, diag, 2.0, *form)), 2 * b)
+    for panel, method, tile in ((3, "tile", 3), (4, "coo", 2), (64, "auto", 0)) if diag == "U" and trans == "N" else ((64, "auto", 3),):
+        assert np.allclose(dense(blas3.trsm(A, make(spark, b, "z"), side, uplo, trans, diag, 2.0, panel, method, tile)), 2 * x, atol=1e-9)
 
 
 def test_trsm_alpha_zero(spark, rng):
@@ -154,10 +176,21 @@ def test_trsm_alpha_zero(spark, rng):
 
 
 def test_singular_solve_is_ieee():
-    x = substitute(np.array([[0.0, 0], [1, 1]]), np.array([[1.0], [1]]), True, False)
+    x = substitute(Block(np.array([[0.0, 0], [1, 1]])), np.array([[1.0], [1]]), True, False)
     assert np.isinf(x[0, 0])
 
 
+@pytest.mark.parametrize("lower,unit", list(itertools.product([True, False], repeat=2)))
+def test_substitute_by_halves(rng, lower, unit):
+    t = rng.integers(-1, 2, (80, 80)).astype(float) / 8
+    np.fill_diagonal(t, 1.0 if unit else 2.0)
+    tri, b = (np.tril(t) if lower else np.triu(t)), rng.random((80, 3))
+    assert np.allclose(tri @ substitute(Block(t), b, lower, unit), b)
+    t[40, 40], b[0, 0] = (1.0, np.inf) if unit else (0.0, 1.0)  # one column turns infinite, the others stay
+    x = substitute(Block(t, np.eye(80, dtype=bool)), b, lower, unit)
+    assert np.isfinite(x).sum() == (239 if unit else 237)
+
+
 @pytest.mark.parametrize(
     "call,code",
     [

@@ -36,7 +36,7 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-@pytest.mark.parametrize("name", ["extend_add_whole", "extend_add_packed_whole"])
+@pytest.mark.parametrize("name", ["extend_add", "extend_add_packed"])
 def test_extend_add_of_the_whole_son(spark, name):
     from tilewright.queries.matrix import fixture
 

@@ -89,6 +89,10 @@ def test_statistics_and_csv(spark, tmp_path):
     e = events(spark, [(0, 2, 0, 1, 10, 77, 5, 0, 0), (1, 2, 3, 1, 30, 77, 5, 0, 8), (2, 2, 0, 2, 10, 78, 5, 0, 0), (3, 2, 3, 2, 30, 78, 5, 0, 9)])
     table = tt.tasks(e, formats, procs)
     stats = {(r.resource, r.name): (r.n, r.time_ns) for r in tt.exit_statistics(table).collect()}
-    assert stats == {(1, "gemm"): (1, 8), (2, "gemm"): (1, 9), (1, None): (1, 8), (2, None): (1, 9), (None, "gemm"): (2, 17)}
+    assert stats == {(1, "gemm"): (1, 8), (2, "gemm"): (1, 9), (1, None): (1, 8), (2, None): (1, 9), (None, "gemm"): (2, 17), (None, None): (2, 17)}
     tt.write_csv({"task": table}, str(tmp_path))
-    assert spark.read.csv(f"{tmp_path}/task.csv", header=True).count() == 2
+    made = spark.read.csv(f"{tmp_path}/task.csv", header=True)
+    assert made.count() == 2 and made.columns == ["Resource", "Type", "Push", "Start", "End", "Duration", "Name", "TaskId"]
+    costs = spark.createDataFrame([("gemm", 80.0, 8.0), ("other", 1.0, 1.0)], "name string, flops double, bytes double")
+    total = next(r for r in tt.exit_statistics(table, costs).collect() if r.resource is None and r.name is None)
+    assert (total.n, total.flops, total.ai, total.mean_ai) == (2, 160.0, 20.0, 10.0)

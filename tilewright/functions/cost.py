@@ -116,6 +116,82 @@ def flops_gemv(m, n, dtype: str = "d") -> Column:
     return _total(m * n + 2 * m, m * n, dtype)
 
 
+def flops_symv(n, dtype: str = "d") -> Column:
+    """Also of HEMV."""
+    return flops_gemv(n, n, dtype)
+
+
+def flops_sytrf(n, dtype: str = "d") -> Column:
+    return flops_potrf(n, dtype)
+
+
+def _ends(m, n) -> tuple[Column, Column, Column]:
+    """(smaller, larger, whether m is the larger one)."""
+    m, n = _d(m), _d(n)
+    return F.least(m, n), F.greatest(m, n), m > n
+
+
+def flops_geqrf(m, n, dtype: str = "d") -> Column:
+    """Also of GEQLF."""
+    lo, hi, tall = _ends(m, n)
+    cubic = lo * lo * (hi - lo / 3)
+    sign = F.when(tall, 0.5).otherwise(-0.5)
+    muls = cubic + sign * lo * lo + F.when(tall, 1.0).otherwise(2.0) * lo * hi + 23 * lo / 6
+    adds = cubic + sign * lo * lo + F.when(tall, 0.0).otherwise(1.0) * lo * hi + 5 * lo / 6
+    return _total(muls, adds, dtype)
+
+
+def flops_gerqf(m, n, dtype: str = "d") -> Column:
+    """Also of GELQF."""
+    lo, hi, tall = _ends(m, n)
+    cubic = lo * lo * (hi - lo / 3)
+    sign = F.when(tall, 0.5).otherwise(-0.5)
+    muls = cubic + sign * lo * lo + F.when(tall, 1.0).otherwise(2.0) * lo * hi + 29 * lo / 6
+    adds = cubic - sign * lo * lo + F.when(tall, 1.0).otherwise(0.0) * lo * hi + 5 * lo / 6
+    return _total(muls, adds, dtype)
+
+
+def _orthogonal(m, n, k, dtype: str, muls: Column, adds: Column) -> Column:
+    m, n, k = _d(m), _d(n), _d(k)
+    base = 2 * m * n * k + 2 * k * k * k / 3 - k * k * (m + n)
+    return _total(base - k * k + k * muls, base + k * (adds + 1 / 3), dtype)
+
+
+def flops_ungqr(m, n, k, dtype: str = "d") -> Column:
+    """Also of UNGQL, ORGQR and ORGQL."""
+    return _orthogonal(m, n, k, dtype, 2 * _d(n) - 5 / 3, _d(n) - _d(m))
+
+
+def flops_ungrq(m, n, k, dtype: str = "d") -> Column:
+    """Also of UNGLQ, ORGRQ and ORGLQ."""
+    return _orthogonal(m, n, k, dtype, _d(m) + _d(n) - 2 / 3, _d(m) - _d(n))
+
+
+def flops_geqrs(m, n, nrhs, dtype: str = "d") -> Column:
+    m, n, r = _d(m), _d(n), _d(nrhs)
+    base = r * n * (2 * m - n / 2)
+    return _total(base + 2.5 * r * n, base + 0.5 * r * n, dtype)
+
+
+def flops_gehrd(n, dtype: str = "d") -> Column:
+    n = _d(n)
+    cubic = 5 * n * n * n / 3
+    return _total(cubic + n * n / 2 - 7 * n / 6 - 13, cubic - n * n - 2 * n / 3 - 8, dtype)
+
+
+def flops_hetrd(n, dtype: str = "d") -> Column:
+    """Also of SYTRD."""
+    n = _d(n)
+    cubic = 2 * n * n * n / 3
+    return _total(cubic + 2.5 * n * n - n / 6 - 15, cubic + n * n - 8 * n / 3 - 4, dtype)
+
+
+def flops_gebrd(m, n, dtype: str = "d") -> Column:
+    lo, hi, _ = _ends(m, n)
+    base = 2 * lo * lo * (hi - lo / 3)
+    return _total(base + 2 * lo * lo + 20 * lo / 3, base + lo * lo - hi * lo + 5 * lo / 3, dtype)
+
+
 def bytes_gemm(m, n, k, dtype: str = "d") -> Column:
     m, n, k = _d(m), _d(n), _d(k)
     return SIZES[dtype] * (m * n + m * k + k * n)
@@ -166,7 +242,10 @@ def is_offloaded(flops: Column, bytes_moved: Column, threshold: float = 1600.0)
 
 def auto_tile(kernel, m, n, devices, user: int = 0) -> Column:
     """Tile size a kernel would choose: ``user`` where set, else by the larger
-    dimension over the devices; null for no devices."""
+    dimension over the devices; null for no devices.
+
+    Fixed values: the bounds 512, 1024, 2048, 4096 and 16384, and the unit of 64.
+    """
     if user:
         return F.lit(user).cast("long")
     kernel = F.upper(kernel if isinstance(kernel, Column) else F.lit(kernel))

@@ -1,10 +1,12 @@
 """Level-3 matrix operators as joins and sums.
 
-``op`` is a column swap; a product is one equi-join on the inner index with
-the output triangle in the join condition, summed with map-side combine; the
-old C joins the same aggregate as one more branch of a union, so beta costs
-no extra shuffle.  Spark chooses broadcast or sort-merge from the sizes it
-measures, and splits skewed inner indices at run time.
+``op`` is a column swap.  A product has two forms of equal results.  Over
+coordinates it is one equi-join on the inner index with the output triangle in
+the join condition, summed with map-side combine; the old C joins the same
+aggregate as one more branch of a union, so beta costs no extra shuffle.  Over
+tiles (``operators.tiles``) the output stays in place and operand tiles are
+sent to it, once each per block of the output that needs them.  ``method`` is
+``coo``, ``tile`` or ``auto``, which decides by operations per byte and density.
 
 Contracts.  Illegal arguments raise ``ArgumentError`` with the documented
 code.  With beta 0 the updated part of C is never read, with alpha 0 neither
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..plans import planner
 from ..plans.matrix import ArgumentError, Matrix, scaled, upper_letter
+from ..plans.settings import Settings
 from . import tiles
 
 
@@ -47,33 +50,47 @@ def _inside(region: str | None) -> Column:
     return F.col("i") >= F.col("j") if region == "L" else F.col("i") <= F.col("j")
 
 
-def _assemble(terms: list[DataFrame], c: Matrix | None, beta, like: Matrix, region: str | None, real_diagonal: bool = False, unique: bool = False) -> DataFrame:
-    """Sum of the terms and beta * C inside the region; C itself outside it.
-
-    ``unique``: each term holds an entry once, so one term alone needs no sum.
-    """
+def _real(df: DataFrame, on: bool) -> DataFrame:
+    """With ``on``, the imaginary part of the diagonal is 0, as it is by definition."""
+    return df.withColumn("im", F.when(F.col("i") == F.col("j"), F.lit(0.0)).otherwise(F.col("im"))) if on else df
+
+
+def _update(
+    kernel: str,
+    terms: list[tiles.Term],
+    c: Matrix | None,
+    beta,
+    like: Matrix,
+    region: str | None = None,
+    real_diagonal: bool = False,
+    method: str = "auto",
+    tile: int = 0,
+    left_is: str | None = None,
+    right_is: str | None = None,
+) -> DataFrame:
+    """Sum of the terms and beta * C inside the region; C itself outside it."""
     vals = like.values
-    parts = list(terms)
-    if c is not None:
-        old = c.doubles()
-        if real_diagonal:
-            old = old.withColumn("im", F.when(F.col("i") == F.col("j"), F.lit(0.0)).otherwise(F.col("im")))
-        if beta != 0:
-            parts.append(old.where(_inside(region)).select("i", "j", *scaled(vals, beta)))
-        if region:
-            parts.append(c.doubles().where(~_inside(region)))
-    if not parts:
-        empty = like.doubles().limit(0)
-        return like.cast(empty)
-    if unique and len(parts) == 1 and not real_diagonal:
-        return like.cast(parts[0])
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    summed = out.groupBy("i", "j").agg(*[F.sum(v).alias(v) for v in vals])
-    if real_diagonal:
-        summed = summed.withColumn("im", F.when(F.col("i") == F.col("j"), F.lit(0.0)).otherwise(F.col("im")))
-    return like.cast(summed)
+    old = outside = None
+    if c is not None and beta != 0:
+        old = _real(c.doubles(), real_diagonal).where(_inside(region)).select("i", "j", *scaled(vals, beta))
+    if c is not None and region:
+        outside = c.doubles().where(~_inside(region))
+    right = lambda t: t.right.transposed(t.flip == "C") if t.flip else t.right
+    if terms and planner.product_method(kernel, method, terms[0].left, right(terms[0])) == "tile":
+        side = tile or Settings.from_environment().tile or tiles.TILE
+        summed = tiles.multiply(terms, None if old is None else c.with_df(old), region, left_is, right_is, side)
+        summed = _real(summed.where(_inside(region)), real_diagonal)
+    else:
+        parts = [_pairs(t.left, right(t), t.alpha, region) for t in terms] + ([] if old is None else [old])
+        if not parts:
+            return like.cast(like.doubles().limit(0) if outside is None else outside)
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        if terms:  # C alone holds an entry once
+            out = out.groupBy("i", "j").agg(*[F.sum(v).alias(v) for v in vals])
+        summed = _real(out, real_diagonal)
+    return like.cast(summed if outside is None else summed.unionByName(outside))
 
 
 def _check(op: str, condition: bool, argument: str, code: int) -> None:
@@ -87,7 +104,7 @@ def _types(op: str, *operands: Matrix | None) -> None:
         raise ArgumentError(op, "element types", -99)
 
 
-def gemm(a: Matrix, b: Matrix, c: Matrix | None = None, alpha=1.0, beta=0.0, transa="N", transb="N", method: str = "auto") -> Matrix:
+def gemm(a: Matrix, b: Matrix, c: Matrix | None = None, alpha=1.0, beta=0.0, transa="N", transb="N", method: str = "auto", tile: int = 0) -> Matrix:
     """C := alpha op(A) op(B) + beta C."""
     ta, tb = upper_letter("gemm", "transA", transa, "NTC", -1), upper_letter("gemm", "transB", transb, "NTC", -2)
     left, right = a.op(ta), b.op(tb)
@@ -99,19 +116,11 @@ def gemm(a: Matrix, b: Matrix, c: Matrix | None = None, alpha=1.0, beta=0.0, tra
     _check("gemm", c is None or (c.nrows, c.ncols) == (m, n), "C", -13)
     if planner.gemm_is_noop(m, n, k, alpha, beta) and c is not None:
         return c
-    tiled = False
-    if alpha == 0 or k == 0:
-        terms = []
-    elif planner.product_method(method, left, right) == "tile":
-        tiled = True
-        product = tiles.multiply(left, right)
-        terms = [product if alpha == 1 else product.select("i", "j", *scaled(a.values, alpha))]
-    else:
-        terms = [_pairs(left, right, alpha)]
-    return Matrix(_assemble(terms, c, beta, a, None, unique=tiled), m, n, a.dtype)
+    terms = [] if alpha == 0 or k == 0 else [tiles.Term(left, right, alpha)]
+    return Matrix(_update("gemm", terms, c, beta, a, method=method, tile=tile), m, n, a.dtype)
 
 
-def gemmt(a: Matrix, b: Matrix, c: Matrix | None = None, uplo="L", alpha=1.0, beta=0.0, transa="N", transb="N") -> Matrix:
+def gemmt(a: Matrix, b: Matrix, c: Matrix | None = None, uplo="L", alpha=1.0, beta=0.0, transa="N", transb="N", method: str = "auto", tile: int = 0) -> Matrix:
     """GEMM with a square result of which only the ``uplo`` triangle is computed; ``uplo`` 0 is all of it."""
     ta, tb = upper_letter("gemmt", "transA", transa, "NTC", -1), upper_letter("gemmt", "transB", transb, "NTC", -2)
     region = None if uplo in (0, "0", None) else upper_letter("gemmt", "uplo", uplo, "LU", -3)
@@ -120,11 +129,14 @@ def gemmt(a: Matrix, b: Matrix, c: Matrix | None = None, uplo="L", alpha=1.0, be
     _check("gemmt", left.nrows == right.ncols, "N", -4)
     _check("gemmt", left.ncols == right.nrows, "K", -5)
     _check("gemmt", c is None or (c.nrows, c.ncols) == (left.nrows, left.nrows), "C", -13)
-    terms = [] if alpha == 0 else [_pairs(left, right, alpha, region)]
-    return Matrix(_assemble(terms, c, beta, a, region), left.nrows, left.nrows, a.dtype)
+    n, k = left.nrows, left.ncols
+    if c is not None and planner.gemm_is_noop(n, n, k, alpha, beta):
+        return c
+    terms = [] if alpha == 0 or k == 0 else [tiles.Term(left, right, alpha)]
+    return Matrix(_update("gemmt", terms, c, beta, a, region, method=method, tile=tile), n, n, a.dtype)
 
 
-def _symmetric(op: str, hermitian: bool, a, b, c, side, uplo, alpha, beta) -> Matrix:
+def _symmetric(op: str, hermitian: bool, a, b, c, side, uplo, alpha, beta, method, tile) -> Matrix:
     s, u = upper_letter(op, "side", side, "LR", -1), upper_letter(op, "uplo", uplo, "LU", -2)
     _types(op, a, b, c)
     order = b.nrows if s == "L" else b.ncols
@@ -133,22 +145,22 @@ def _symmetric(op: str, hermitian: bool, a, b, c, side, uplo, alpha, beta) -> Ma
     full = a.mirrored(u, hermitian)
     if c is not None and planner.gemm_is_noop(b.nrows, b.ncols, order, alpha, beta):
         return c
-    terms = [] if alpha == 0 else [_pairs(full, b, alpha) if s == "L" else _pairs(b, full, alpha)]
-    return Matrix(_assemble(terms, c, beta, a, None), b.nrows, b.ncols, a.dtype)
+    terms = [] if alpha == 0 else [tiles.Term(full, b, alpha) if s == "L" else tiles.Term(b, full, alpha)]
+    return Matrix(_update(op, terms, c, beta, a, method=method, tile=tile), b.nrows, b.ncols, a.dtype)
 
 
-def symm(a: Matrix, b: Matrix, c: Matrix | None = None, side="L", uplo="L", alpha=1.0, beta=0.0) -> Matrix:
+def symm(a: Matrix, b: Matrix, c: Matrix | None = None, side="L", uplo="L", alpha=1.0, beta=0.0, method: str = "auto", tile: int = 0) -> Matrix:
     """C := alpha A B + beta C or alpha B A + beta C, A symmetric, one triangle stored."""
-    return _symmetric("symm", False, a, b, c, side, uplo, alpha, beta)
+    return _symmetric("symm", False, a, b, c, side, uplo, alpha, beta, method, tile)
 
 
-def hemm(a: Matrix, b: Matrix, c: Matrix | None = None, side="L", uplo="L", alpha=1.0, beta=0.0) -> Matrix:
+def hemm(a: Matrix, b: Matrix, c: Matrix | None = None, side="L", uplo="L", alpha=1.0, beta=0.0, method: str = "auto", tile: int = 0) -> Matrix:
     """``symm`` with a Hermitian A."""
     _check("hemm", a.is_complex, "A", -7)
-    return _symmetric("hemm", True, a, b, c, side, uplo, alpha, beta)
+    return _symmetric("hemm", True, a, b, c, side, uplo, alpha, beta, method, tile)
 
 
-def _rank_k(op: str, hermitian: bool, a, c, uplo, trans, alpha, beta) -> Matrix:
+def _rank_k(op: str, hermitian: bool, a, c, uplo, trans, alpha, beta, method, tile) -> Matrix:
     u = upper_letter(op, "uplo", uplo, "LU", -1)
     t = upper_letter(op, "trans", trans, "NC" if hermitian else "NT", -2)
     _types(op, a, c)
@@ -156,24 +168,24 @@ def _rank_k(op: str, hermitian: bool, a, c, uplo, trans, alpha, beta) -> Matrix:
     _check(op, c is None or (c.nrows, c.ncols) == (left.nrows, left.nrows), "C", -10)
     if c is not None and planner.rank_is_noop(left.nrows, left.ncols, alpha, beta):
         return c
-    terms = [] if alpha == 0 else [_pairs(left, left.transposed(conjugate=hermitian), alpha, u)]
-    return Matrix(_assemble(terms, c, beta, a, u, real_diagonal=hermitian), left.nrows, left.nrows, a.dtype)
+    terms = [] if alpha == 0 or left.ncols == 0 else [tiles.Term(left, left, alpha, "C" if hermitian else "T")]
+    return Matrix(_update(op, terms, c, beta, a, u, hermitian, method, tile), left.nrows, left.nrows, a.dtype)
 
 
-def syrk(a: Matrix, c: Matrix | None = None, uplo="L", trans="N", alpha=1.0, beta=0.0) -> Matrix:
+def syrk(a: Matrix, c: Matrix | None = None, uplo="L", trans="N", alpha=1.0, beta=0.0, method: str = "auto", tile: int = 0) -> Matrix:
     """C := alpha op(A) op(A)^T + beta C on the ``uplo`` triangle."""
-    return _rank_k("syrk", False, a, c, uplo, trans, alpha, beta)
+    return _rank_k("syrk", False, a, c, uplo, trans, alpha, beta, method, tile)
 
 
-def herk(a: Matrix, c: Matrix | None = None, uplo="L", trans="N", alpha: float = 1.0, beta: float = 0.0) -> Matrix:
+def herk(a: Matrix, c: Matrix | None = None, uplo="L", trans="N", alpha: float = 1.0, beta: float = 0.0, method: str = "auto", tile: int = 0) -> Matrix:
     """C := alpha op(A) op(A)^H + beta C on the ``uplo`` triangle; alpha and beta are real."""
     _check("herk", a.is_complex, "A", -7)
     _check("herk", complex(alpha).imag == 0, "alpha", -5)
     _check("herk", complex(beta).imag == 0, "beta", -8)
-    return _rank_k("herk", True, a, c, uplo, trans, alpha, beta)
+    return _rank_k("herk", True, a, c, uplo, trans, alpha, beta, method, tile)
 
 
-def _rank_2k(op: str, hermitian: bool, a, b, c, uplo, trans, alpha, beta) -> Matrix:
+def _rank_2k(op: str, hermitian: bool, a, b, c, uplo, trans, alpha, beta, method, tile) -> Matrix:
     u = upper_letter(op, "uplo", uplo, "LU", -1)
     t = upper_letter(op, "trans", trans, "NC" if hermitian else "NT", -2)
     _types(op, a, b, c)
@@ -182,23 +194,21 @@ def _rank_2k(op: str, hermitian: bool, a, b, c, uplo, trans, alpha, beta) -> Mat
     _check(op, c is None or (c.nrows, c.ncols) == (x.nrows, x.nrows), "C", -12)
     if c is not None and planner.rank_is_noop(x.nrows, x.ncols, alpha, beta):
         return c
-    second = complex(alpha).conjugate() if hermitian else alpha
-    terms = []
-    if alpha != 0:
-        terms = [_pairs(x, y.transposed(conjugate=hermitian), alpha, u), _pairs(y, x.transposed(conjugate=hermitian), second, u)]
-    return Matrix(_assemble(terms, c, beta, a, u, real_diagonal=hermitian), x.nrows, x.nrows, a.dtype)
+    second, flip = (complex(alpha).conjugate(), "C") if hermitian else (alpha, "T")
+    terms = [] if alpha == 0 or x.ncols == 0 else [tiles.Term(x, y, alpha, flip), tiles.Term(y, x, second, flip)]
+    return Matrix(_update(op, terms, c, beta, a, u, hermitian, method, tile), x.nrows, x.nrows, a.dtype)
 
 
-def syr2k(a: Matrix, b: Matrix, c: Matrix | None = None, uplo="L", trans="N", alpha=1.0, beta=0.0) -> Matrix:
+def syr2k(a: Matrix, b: Matrix, c: Matrix | None = None, uplo="L", trans="N", alpha=1.0, beta=0.0, method: str = "auto", tile: int = 0) -> Matrix:
     """C := alpha (op(A) op(B)^T + op(B) op(A)^T) + beta C on the ``uplo`` triangle."""
-    return _rank_2k("syr2k", False, a, b, c, uplo, trans, alpha, beta)
+    return _rank_2k("syr2k", False, a, b, c, uplo, trans, alpha, beta, method, tile)
 
 
-def her2k(a: Matrix, b: Matrix, c: Matrix | None = None, uplo="L", trans="N", alpha=1.0, beta: float = 0.0) -> Matrix:
+def her2k(a: Matrix, b: Matrix, c: Matrix | None = None, uplo="L", trans="N", alpha=1.0, beta: float = 0.0, method: str = "auto", tile: int = 0) -> Matrix:
     """C := alpha op(A) op(B)^H + conj(alpha) op(B) op(A)^H + beta C, beta real."""
     _check("her2k", a.is_complex, "A", -7)
     _check("her2k", complex(beta).imag == 0, "beta", -10)
-    return _rank_2k("her2k", True, a, b, c, uplo, trans, alpha, beta)
+    return _rank_2k("her2k", True, a, b, c, uplo, trans, alpha, beta, method, tile)
 
 
 def _triangular_args(op: str, a: Matrix, b: Matrix, side, uplo, transa, diag) -> tuple[str, str, str, str]:
@@ -209,17 +219,19 @@ def _triangular_args(op: str, a: Matrix, b: Matrix, side, uplo, transa, diag) ->
     return s, u, t, d
 
 
-def trmm(a: Matrix, b: Matrix, side="L", uplo="L", transa="N", diag="N", alpha=1.0) -> Matrix:
+def trmm(a: Matrix, b: Matrix, side="L", uplo="L", transa="N", diag="N", alpha=1.0, method: str = "auto", tile: int = 0) -> Matrix:
     """B := alpha op(A) B or alpha B op(A), A triangular."""
     s, u, t, d = _triangular_args("trmm", a, b, side, uplo, transa, diag)
     tri = a.triangular(u, d).op(t)
     if alpha == 0:
         return b.with_df(b.cast(b.doubles().select("i", "j", *[F.lit(0.0).alias(v) for v in b.values])))
-    terms = [_pairs(tri, b, alpha) if s == "L" else _pairs(b, tri, alpha)]
-    return b.with_df(_assemble(terms, None, 0.0, b, None))
+    shape = "L" if (u == "L") == (t == "N") else "U"
+    if s == "L":
+        return b.with_df(_update("trmm", [tiles.Term(tri, b, alpha)], None, 0.0, b, method=method, tile=tile, left_is=shape))
+    return b.with_df(_update("trmm", [tiles.Term(b, tri, alpha)], None, 0.0, b, method=method, tile=tile, right_is=shape))
 
 
-def trsm(a: Matrix, b: Matrix, side="L", uplo="L", transa="N", diag="N", alpha=1.0, panel: int = 1024) -> Matrix:
+def trsm(a: Matrix, b: Matrix, side="L", uplo="L", transa="N", diag="N", alpha=1.0, panel: int = 32_768, method: str = "auto", tile: int = 0) -> Matrix:
     """X with op(A) X = alpha B or X op(A) = alpha B, A triangular."""
     from .solve import solve_triangular
 
@@ -230,6 +242,6 @@ def trsm(a: Matrix, b: Matrix, side="L", uplo="L", transa="N", diag="N", alpha=1
     rhs = b
     if s == "R":  # X op(A) = alpha B  is  op(A)^T X^T = alpha B^T
         effective, lower, rhs = effective.transposed(), not lower, b.transposed()
-    x = solve_triangular(effective, rhs, lower, d == "U", alpha, panel)
+    x = solve_triangular(effective, rhs, lower, d == "U", alpha, panel, method, tile)
     x = x if s == "L" else x.transposed()
     return b.with_df(b.cast(x.df))

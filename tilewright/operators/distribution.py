@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.matrix import Matrix, upper_letter
 
+# fixed values: the codes of the triangles
 ALL, UPPER, LOWER = 0, 121, 122
 
 
@@ -39,6 +40,13 @@ def diagonal_cyclic(ti: Column, tj: Column, count: int) -> Column:
     return (ti + tj) % count
 
 
+def single(ti: Column, tj: Column, device: int, count: int) -> Column:
+    """Every tile on one device."""
+    if not 0 <= device < count:
+        raise ValueError(f"no device {device} among {count}")
+    return F.lit(device).cast("long")
+
+
 def auto_grid(devices: int) -> tuple[int, int]:
     """The grid for a number of devices: its largest divisor not above floor(sqrt) + 1, and the rest."""
     if devices < 1:
@@ -55,8 +63,8 @@ def assign(tiles: DataFrame, device: Column, force: bool = True, name: str = "pi
 
 
 def distribute(tiles: DataFrame, count: int, name: str = "pid") -> DataFrame:
-    """Tiles of one device in one partition."""
-    return tiles.repartition(count, name)
+    """Tiles of device k in partition k, and of no other; without a device, in partition 0."""
+    return tiles.repartitionById(count, F.col(name).cast("int"))
 
 
 def coherent(m: Matrix, mb: int, nb: int, uplo: int | str = ALL, invalidate: bool = False) -> tuple[DataFrame, DataFrame | None]:
@@ -85,17 +93,32 @@ def affinity(replicas: DataFrame, devices: DataFrame) -> DataFrame:
 
     ``replicas``: (task, device, kind, bytes, readwrite) of each valid replica of
     an operand; bytes count twice where it is read and written.  ``devices``:
-    (device, kind), the candidates (few; a list of hardware).  Scores compare in
-    the order local, same kind, other; of equals the lowest device wins.
+    (device, kind), the candidates.  Scores compare in the order local, same
+    kind, other; of equals the lowest device wins.
+
+    A device without a replica of the task scores by its kind alone, so of each
+    kind only the lowest such device can win: candidates are the devices that hold
+    something and the first of each kind that does not, never all pairs.
     """
     weight = F.col("bytes") * F.when(F.col("readwrite"), 2).otherwise(1)
-    by = replicas.groupBy("task", F.col("device").alias("_at"), F.col("kind").alias("_kind")).agg(F.sum(weight).alias("_w"))
-    pairs = by.join(F.broadcast(devices))
-    one = lambda c: F.sum(F.when(c, F.col("_w")).otherwise(0))
-    local, kind = F.col("_at") == F.col("device"), F.col("_kind") == F.col("kind")
-    scores = pairs.groupBy("task", "device").agg(one(local).alias("local"), one(~local & kind).alias("same_kind"), one(~local & ~kind).alias("other"))
+    held = replicas.groupBy("task", F.col("device").alias("_at"), F.col("kind").alias("_kind")).agg(F.sum(weight).alias("_w"))
+    sums = held.groupBy("task", "_kind").agg(F.sum("_w").alias("_wk"), F.collect_set("_at").alias("_holders"))
+    per_task = sums.groupBy("task").agg(F.sum("_wk").alias("_all"), F.map_from_entries(F.collect_list(F.struct("_kind", "_wk"))).alias("_by"), F.flatten(F.collect_list("_holders")).alias("_on"))
+    # the devices of a kind in order: one short list per kind
+    kinds = devices.groupBy("kind").agg(F.sort_array(F.collect_set("device")).alias("_devices"))
+    lists = kinds.agg(F.collect_list(F.struct("kind", "_devices")).alias("_kinds"))  # one row
+    local = held.join(devices.select(F.col("device").alias("_d"), F.col("kind").alias("_dk")), F.col("_at") == F.col("_d"))
+    local = local.groupBy("task", F.col("_at").alias("device"), F.col("_dk").alias("kind")).agg(
+        F.sum("_w").alias("local"), F.sum(F.when(F.col("_kind") == F.col("_dk"), F.col("_w")).otherwise(0)).alias("_mine")
+    )
+    rest = per_task.join(F.broadcast(lists)).select(
+        "task", F.explode(F.transform("_kinds", lambda k: F.struct(k["kind"].alias("kind"), F.get(F.array_except(k["_devices"], F.col("_on")), F.lit(0)).alias("device")))).alias("_c")
+    ).select("task", "_c.device", "_c.kind", F.lit(0).cast("long").alias("local"), F.lit(0).cast("long").alias("_mine"))
+    scored = local.unionByName(rest.where(F.col("device").isNotNull())).join(per_task.select("task", "_all", "_by"), "task")
+    kind = F.coalesce(F.try_element_at("_by", F.col("kind")), F.lit(0)) - F.col("_mine")
+    scored = scored.withColumn("same_kind", kind).withColumn("other", F.col("_all") - F.col("local") - F.col("same_kind"))
     best = F.max(F.struct("local", "same_kind", "other", (-F.col("device")).alias("_d"))).alias("b")
-    return scores.groupBy("task").agg(best).select("task", (-F.col("b._d")).alias("device"), "b.local", "b.same_kind", "b.other")
+    return scored.groupBy("task").agg(best).select("task", (-F.col("b._d")).alias("device"), "b.local", "b.same_kind", "b.other")
 
 
 def task_graph(spark, operator: str, mt: int, nt: int, kt: int) -> DataFrame:

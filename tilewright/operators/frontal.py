@@ -10,9 +10,10 @@ from . import blas3
 
 
 def _reciprocal(values: list[str]) -> dict[str, Column]:
-    """1/d as IEEE would have it: a zero gives infinity, not an error."""
+    """1/d as IEEE would have it: a zero gives infinity of its sign, not an error."""
     inf = F.lit(float("inf"))
     if values == ["v"]:
+        inf = F.when(F.col("dv").cast("string").startswith("-"), -inf).otherwise(inf)
         return {"r": F.when(F.col("dv") == 0, inf).otherwise(F.lit(1.0) / F.nullif(F.col("dv"), F.lit(0.0)))}
     size = F.col("dre") * F.col("dre") + F.col("dim") * F.col("dim")
     safe = F.nullif(size, F.lit(0.0))

@@ -1,95 +1,55 @@
-"""Triangular solve by panels.
+"""Triangular solve by panels of rows.
 
 All eight cases of the solve are one of two here: a lower system forward or
-an upper one backward.  For each panel of at most ``panel`` rows, the
-diagonal block (at most panel**2 entries, the proven bound of what is sent to
-all tasks) is solved against blocks of right-hand columns in parallel, and
-the rows that remain are updated by one product.  The state after a panel is
-written to the shared folder, so lineage stays short.
+an upper one backward.  Columns of the right-hand side are independent of one
+another, so a panel is solved by one job in which each task streams the tiles
+of the triangle past its own block of columns (``tiles.solve``).  Systems of at
+most ``panel`` rows are one panel.  Beyond that the solve is left-looking: the
+panels already solved are taken off the next panel's rows by one product, and
+each row of B and X is read and written once.  Solved panels are written to
+the shared folder, so lineage stays short.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from ..plans.matrix import Matrix, scaled
+from ..plans.settings import Settings
 from ..plans.storage import materialize
+from . import tiles
 
-COLUMN_BLOCK = 256
+#: Bytes of the solution a task holds at once.
+HELD_BYTES = 1 << 28
 
 
-def _dense(pdf: pd.DataFrame, rows: int, cols: int, i0: int, j0: int, cplx: bool) -> np.ndarray:
-    out = np.zeros((rows, cols), complex if cplx else float)
-    at = pdf["i"].to_numpy() - i0, pdf["j"].to_numpy() - j0
-    out[at] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy() if cplx else pdf["v"].to_numpy()
-    return out
+def solve_triangular(a: Matrix, b: Matrix, lower: bool, unit: bool, alpha, panel: int, method: str = "auto", tile: int = 0) -> Matrix:
+    from .blas3 import _update
 
-
-def substitute(t: np.ndarray, b: np.ndarray, lower: bool, unit: bool) -> np.ndarray:
-    """X with T X = B for one dense triangular block; IEEE results for zero pivots."""
-    n = t.shape[0]
-    x = np.array(b, dtype=np.result_type(t, b))
-    order = range(n) if lower else range(n - 1, -1, -1)
-    with np.errstate(all="ignore"):
-        for r in order:
-            done = slice(0, r) if lower else slice(r + 1, n)
-            coef = t[r, done]
-            nz = np.flatnonzero(coef)  # absent entries never meet Inf or NaN
-            if len(nz):
-                x[r] -= coef[nz] @ x[done][nz]
-            if not unit:
-                x[r] = x[r] / t[r, r]
-    return x
-
-
-def _column_solver(block: np.ndarray, lo: int, hi: int, lower: bool, unit: bool, cplx: bool):
-    """Solves one panel for one block of right-hand columns."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cols = np.unique(pdf["j"].to_numpy())
-        place = pdf.assign(j=np.searchsorted(cols, pdf["j"].to_numpy()))
-        x = substitute(block, _dense(place, hi - lo, len(cols), lo, 0, cplx), lower, unit)
-        out = {"i": np.repeat(np.arange(lo, hi), len(cols)), "j": np.tile(cols, hi - lo)}
-        flat = x.reshape(-1)
-        return pd.DataFrame(out | ({"re": flat.real, "im": flat.imag} if cplx else {"v": flat}))
-
-    return run
-
-
-def solve_triangular(a: Matrix, b: Matrix, lower: bool, unit: bool, alpha, panel: int) -> Matrix:
-    n, cplx, vals = a.nrows, a.is_complex, a.values
-    tri = a.triangle("L" if lower else "U", strict=unit)
-    entries = tri.doubles()
-    rest = b.doubles().select("i", "j", *scaled(vals, alpha))
+    n, vals = a.nrows, a.values
+    side = tile or Settings.from_environment().tile or tiles.TILE
+    panel = max(side, panel // side * side)  # panels begin at tiles
+    triangle = a.triangle("L" if lower else "U", strict=unit)
+    rhs = b.with_df(b.doubles().select("i", "j", *scaled(vals, alpha)))
     starts = list(range(0, n, panel))
     order = starts if lower else starts[::-1]
     if len(order) > 1:
-        entries, rest = materialize(entries, "triangle"), materialize(rest, "rhs")
-    schema = "i long, j long, " + ", ".join(f"{v} double" for v in vals)
-    solved = []
-    for turn, lo in enumerate(order):
+        triangle, rhs = triangle.with_df(materialize(triangle.doubles(), "triangle")), rhs.with_df(materialize(rhs.df, "rhs"))
+    lanes = int(b.spark.conf.get("spark.sql.shuffle.partitions"))
+    solved: Matrix | None = None
+    for lo in order:
         hi = min(lo + panel, n)
         own = F.col("i").between(lo, hi - 1)
-        block = _dense(entries.where(own & F.col("j").between(lo, hi - 1)).toPandas(), hi - lo, hi - lo, lo, lo, cplx)
-
-        x = rest.where(own).withColumn("_b", F.floor(F.col("j") / COLUMN_BLOCK)).groupBy("_b").applyInPandas(
-            _column_solver(block, lo, hi, lower, unit, cplx), schema
-        )
-        if turn < len(order) - 1:
+        part = rhs.with_df(rhs.df.where(own))
+        if solved is not None:
+            before = triangle.with_df(triangle.df.where(own & (F.col("j") < lo if lower else F.col("j") >= hi)))
+            part = part.with_df(_update("trsm", [tiles.Term(before, solved, -1.0)], part, 1.0, solved, method=method, tile=tile))
+        block = triangle.with_df(triangle.df.where(own & F.col("j").between(lo, hi - 1)))
+        most = HELD_BYTES // ((16 if a.is_complex else 8) * (hi - lo))
+        width = max(1, min(most, -(-b.ncols // lanes)))
+        x = tiles.solve(block, part, lower, unit, lo, hi, side, width)
+        if len(order) > 1:
             x = materialize(x, "panel")
-            below = F.col("i") >= hi if lower else F.col("i") < lo
-            from .blas3 import _pairs
-
-            left = a.with_df(entries.where(below & F.col("j").between(lo, hi - 1)))
-            update = _pairs(left, Matrix(x, n, b.ncols, a.dtype), -1.0)
-            rest = rest.where(below).unionByName(update).groupBy("i", "j").agg(*[F.sum(v).alias(v) for v in vals])
-            rest = materialize(rest, "rhs")
-        solved.append(x)
-    if not solved:
-        return b.with_df(rest)
-    out = solved[0]
-    for x in solved[1:]:
-        out = out.unionByName(x)
-    return b.with_df(out)
+        double = "z" if a.is_complex else "d"
+        solved = Matrix(x if solved is None else solved.df.unionByName(x), n, b.ncols, double)
+    return b.with_df(rhs.df if solved is None else solved.df)

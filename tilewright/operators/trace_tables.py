@@ -24,6 +24,21 @@ EVENT_NAMES = (
     "OFFLOAD_KERN", "TASKSYNC", "PERFCOUNTER", "TASK_PERFCOUNTER", "PERF_UNCORE", "CALL", "LOOP", "ENERGY",
 )
 MAX_PARAMS = 16
+# fixed values: the names of the software counters; numbers 26 and 27 are not used
+COUNTER_NAMES = (
+    "WORK_CPU", "WORK_GPU", "TIDLE", "TINF", "TASKSPAWN", "TASKSTARTEXEC", "TASKEXEC", "TASKSTEAL", "STEALREQ", "STEALREQOK",
+    "STEALOP", "SYNCINST", "ALLOC_GPU", "FREE_GPU", "CPYH2H_BYTES", "CPYH2D_BYTES", "CPYD2H_BYTES", "CPYD2D_BYTES", "CACHE_HIT", "CACHE_MISS",
+    "CACHE_HIT_BYTES", "CACHE_MISS_BYTES", "FLOPS_CPU", "DFLOPS_CPU", "FLOPS_GPU", "DFLOPS_GPU", None, None, "REORDER_HIT", "REORDER_MISS",
+    "REORDER_MISS_LEN", "LOCAL_READ", "LOCAL_WRITE", "REMOTE_READ", "REMOTE_WRITE", "DFGBUILD",
+)
+# fixed values: the columns of the files that are written
+CSV_COLUMNS = {
+    "task": ("Resource", "Type", "Push", "Start", "End", "Duration", "Name", "TaskId"),
+    "kern": ("Resource", "Type", "Stream", "Push", "Start", "End", "Duration", "Name", "TaskId"),
+    "cpy": ("Resource", "Type", "Stream", "Push", "Start", "End", "Duration", "Size", "Dir"),
+    "parallel": ("Resource", "Type", "Start", "End", "Duration", "Name"),
+    "call": ("Resource", "Level", "Start", "End", "Duration", "Name", "NParam", *(f"Param{k}" for k in range(MAX_PARAMS))),
+}
 
 
 def seconds(ns: Column) -> Column:
@@ -45,10 +60,28 @@ def _pick(names: tuple[str, ...], k: Column) -> Column:
     return F.when(k.between(0, len(names) - 1), F.element_at(F.array(*[F.lit(n) for n in names]), k.cast("int") + 1))
 
 
-def records(events: DataFrame, evtno: tuple[int, ...], columns: tuple[str, ...]) -> DataFrame:
-    """Valid records of some events, each once however often it was delivered."""
+def _deliveries(events: DataFrame, evtno: tuple[int, ...], columns: tuple[str, ...]) -> DataFrame:
+    """Valid deliveries of records of some events, repeats among them."""
     found = events.where(trace.is_valid() & F.col("evtno").isin(*evtno))
-    return found.select("file_id", "rpos", "evtno", "kind", "kid", "date", *columns).dropDuplicates(["file_id", "rpos"])
+    return found.select("file_id", "rpos", "evtno", "kind", "kid", "date", *columns)
+
+
+def records(events: DataFrame, evtno: tuple[int, ...], columns: tuple[str, ...]) -> DataFrame:
+    """Valid records of some events, each once however often it was delivered; of
+    several names, in which deliveries may differ, the alphabetically first."""
+    rows = _deliveries(events, evtno, columns)
+    if "name" not in columns:
+        return rows.distinct()
+    return rows.groupBy(*[c for c in rows.columns if c != "name"]).agg(F.min("name").alias("name"))
+
+
+def _by_id(events: DataFrame, evtno: int, columns: tuple[str, ...]) -> DataFrame:
+    """Valid records with an id, each once, by one shuffle: deliveries of a record
+    share file and id, so repeats are neighbours within the id's own order."""
+    w = W.partitionBy("file_id", "d0").orderBy("date", "rpos")
+    rows = _deliveries(events, (evtno,), columns).where(F.col("d0").isNotNull())
+    again = (F.lag("rpos").over(w) == F.col("rpos")) & (F.lag("date").over(w) == F.col("date"))
+    return rows.withColumn("_again", F.coalesce(again, F.lit(False))).where(~F.col("_again")).drop("_again")
 
 
 def format_names(formats: DataFrame) -> DataFrame:
@@ -70,7 +103,7 @@ def _typed(df: DataFrame, processors: DataFrame, how: str = "left") -> DataFrame
 def _occurrences(df: DataFrame, opens: Column) -> DataFrame:
     """Number of the life of each id: ids may be used again after their end."""
     w = W.partitionBy("file_id", "d0").orderBy("date", "rpos").rowsBetween(W.unboundedPreceding, 0)
-    return df.where(F.col("d0").isNotNull()).withColumn("life", F.sum(opens.cast("long")).over(w))
+    return df.withColumn("life", F.sum(opens.cast("long")).over(w))
 
 
 def _at(kind: int, column: str = "date") -> Column:
@@ -85,7 +118,7 @@ def tasks(events: DataFrame, formats: DataFrame, processors: DataFrame, only: li
     delay; a start later than the end, or a lost one, is null.  ``only`` keeps
     some formats.
     """
-    rows = _occurrences(records(events, (trace.TASK,), ("d0", "d1", "d3")), F.col("kind") == 0)
+    rows = _occurrences(_by_id(events, trace.TASK, ("d0", "d1", "d3")), F.col("kind") == 0)
     lives = rows.groupBy("file_id", "d0", "life").agg(
         _at(0).alias("push"), _at(2).alias("start"), _at(3).alias("end"), _at(3, "d3").alias("delay"), _at(0, "d1").alias("fmtid"), _at(0, "kid").alias("kid")
     )
@@ -102,7 +135,7 @@ def tasks(events: DataFrame, formats: DataFrame, processors: DataFrame, only: li
 def copies(events: DataFrame, processors: DataFrame) -> DataFrame:
     """A row per copy that was pushed and ended, on a known processor: (file_id, resource, type,
     stream, push, start, end, duration, size, dir, direction, source, target)."""
-    rows = _occurrences(records(events, (trace.COPY,), ("d0", "d1", "d2", "d3")), F.col("kind") == 0)
+    rows = _occurrences(_by_id(events, trace.COPY, ("d0", "d1", "d2", "d3")), F.col("kind") == 0)
     lives = rows.groupBy("file_id", "d0", "life").agg(
         _at(0).alias("push"), _at(1).alias("start"), _at(2).alias("end"), _at(2, "d1").alias("delay"),
         _at(0, "d1").alias("ends"), _at(0, "d2").alias("size"), _at(0, "d3").alias("how"), _at(0, "kid").alias("kid"),
@@ -123,12 +156,12 @@ def kernels(events: DataFrame, formats: DataFrame, processors: DataFrame) -> Dat
 
     A kernel without push has push 0, the processor of its begin and no format.
     """
-    rows = records(events, (trace.KERNEL,), ("d0", "d1", "d2", "d3"))
+    rows = _by_id(events, trace.KERNEL, ("d0", "d1", "d2", "d3"))
     w = W.partitionBy("file_id", "d0").orderBy("date", "rpos")
     # a life opens with a push, or with a begin that follows no push or a past end
     opens = (F.col("kind") == 0) & ~F.coalesce(F.lag("kind").over(w) == 0, F.lit(False))
     opens = opens | ((F.col("kind") == 1) & F.coalesce(F.lag("kind").over(w) == 2, F.lit(True)))
-    rows = rows.where(F.col("d0").isNotNull()).withColumn("_open", opens)
+    rows = rows.withColumn("_open", opens)
     rows = rows.withColumn("life", F.sum(F.col("_open").cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0)))
     lives = rows.groupBy("file_id", "d0", "life").agg(
         _at(0).alias("push"), _at(1).alias("start"), _at(2).alias("end"), _at(2, "d1").alias("delay"), _at(0, "d2").alias("fmtid"),
@@ -175,6 +208,9 @@ def calls(events: DataFrame) -> DataFrame:
     closing = F.min(F.when(sync, F.col("date"))).over(W.partitionBy("file_id", "kid", "_sync"))
     first = F.min(F.when(begin, F.col("_call"))).over(W.partitionBy("file_id", "kid", "_sync"))
     marked = marked.withColumn("_end", closing).withColumn("_first", first).where(~sync & F.col("_end").isNotNull())
+    # only the records that can fill a parameter are gathered
+    nth = F.sum((~begin).cast("long")).over(W.partitionBy("file_id", "kid", "_call").orderBy("date", "rpos").rowsBetween(W.unboundedPreceding, 0))
+    marked = marked.withColumn("_nth", nth).where(begin | (F.col("_nth") <= -(-(MAX_PARAMS - 3) // 4)))
     info = F.when(~begin, F.struct("date", "rpos", "d0", "d1", "d2", "d3"))
     made = marked.groupBy("file_id", "kid", "_sync", "_call").agg(
         F.min(F.when(begin, F.struct("date", "name", "d1", "d2", "d3"))).alias("b"),
@@ -197,21 +233,47 @@ def decoded(events: DataFrame) -> DataFrame:
     return rows.withColumn("event", name)
 
 
-def exit_statistics(task_table: DataFrame) -> DataFrame:
-    """(resource, name, n, time_ns): tasks and recorded time per processor and format, with
-    the sums per processor (name null), and per format (resource null)."""
+def exit_statistics(task_table: DataFrame, costs: DataFrame | None = None) -> DataFrame:
+    """(resource, name, n, time_ns[, flops, ai, mean_ai]): tasks and recorded time per processor and
+    format, with the sums per processor (name null), per format (resource null) and of all (both null).
+
+    ``costs``: (name, flops, bytes) of one task of a format.  A task's intensity is its
+    operations per byte; ``ai`` is their sum and ``mean_ai`` their mean over all tasks.
+    Formats without a known cost count as 0.
+    """
     spent = F.sum(F.round(F.col("duration") * 1e9).cast("long")).alias("time_ns")
-    sets = task_table.groupingSets([["resource", "name"], ["resource"], ["name"]], "resource", "name")
-    return sets.agg(F.count(F.lit(1)).alias("n"), spent)
+    rows, more = task_table.select("resource", "name", "duration"), []
+    if costs is not None:
+        each = costs.groupBy(F.col("name").alias("_n")).agg(F.max("flops").alias("_flops"), F.max("bytes").alias("_bytes"))
+        rows = rows.join(each, F.col("name") == F.col("_n"), "left").withColumn("_ai", F.coalesce(F.col("_flops") / F.nullif(F.col("_bytes"), F.lit(0.0)), F.lit(0.0)))
+        more = [F.sum(F.coalesce("_flops", F.lit(0.0))).alias("flops"), F.sum("_ai").alias("ai"), F.avg("_ai").alias("mean_ai")]
+    sets = rows.groupingSets([["resource", "name"], ["resource"], ["name"], []], "resource", "name")
+    return sets.agg(F.count(F.lit(1)).alias("n"), spent, *more)
 
 
 def counters(events: DataFrame) -> DataFrame:
-    """(kid, counter, n, last): readings of each software counter per processor and the latest one."""
+    """(kid, counter, name, n, last): readings of each software counter per processor and the latest one."""
     rows = records(events, (10,), ("d0", "d1")).where(F.col("d0").isNotNull())
-    return rows.groupBy("kid", F.col("d0").alias("counter")).agg(F.count(F.lit(1)).alias("n"), F.max_by("d1", F.struct("date", "file_id", "rpos")).alias("last"))
+    made = rows.groupBy("kid", F.col("d0").alias("counter")).agg(F.count(F.lit(1)).alias("n"), F.max_by("d1", F.struct("date", "file_id", "rpos")).alias("last"))
+    return made.select("kid", "counter", _pick(COUNTER_NAMES, F.col("counter")).alias("name"), "n", "last")
+
+
+def csv_table(name: str, df: DataFrame) -> DataFrame:
+    """The columns of a trace table as its CSV file names them; times with 15 places."""
+
+    def cell(c: str):
+        own = {"taskid": "task_id"}.get(c.lower(), c.lower())
+        value = F.col(own)
+        if own in ("push", "start", "end", "duration"):
+            value = F.when(value.isNotNull(), F.format_string("%.15f", value))
+        return value.alias(c)
+
+    return df.select(*[cell(c) for c in CSV_COLUMNS[name]])
 
 
 def write_csv(tables: dict[str, DataFrame], folder: str) -> None:
-    """Each table as a CSV folder ``<folder>/<name>.csv`` with a header."""
+    """Each table (``task``, ``kern``, ``cpy``, ``parallel``, ``call``) as a CSV folder
+    ``<folder>/<name>.csv`` with its header; other tables as they are."""
     for name, df in tables.items():
-        df.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}.csv")
+        made = csv_table(name, df) if name in CSV_COLUMNS else df
+        made.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}.csv")

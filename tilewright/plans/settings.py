@@ -15,19 +15,26 @@ PREFIX = "TILEWRIGHT_"
 
 @dataclass(frozen=True)
 class Settings:
-    """``tile``: user's tile size, 0 for automatic; ``devices``: how many places tiles
-    are mapped to; ``threshold``: operations per byte from which a call is distributed."""
+    """``tile``: user's tile size, 0 for the default; ``devices``: how many places tiles are
+    mapped to; ``threshold``: operations per byte from which a call runs over tiles, and
+    ``thresholds``: the same for single kernels, from ``TILEWRIGHT_THRESHOLD_<KERNEL>``."""
 
     tile: int = 0
     devices: int = 8
-    threshold: float = 1600.0
+    threshold: float = 32.0
+    thresholds: tuple[tuple[str, float], ...] = ()
 
     @staticmethod
     def from_environment(env: dict[str, str] | None = None) -> "Settings":
         env = os.environ if env is None else env
         read = {k: env[PREFIX + k.upper()] for k in ("tile", "devices", "threshold") if env.get(PREFIX + k.upper())}
         kinds = {"tile": int, "devices": int, "threshold": float}
-        return Settings(**{k: kinds[k](v) for k, v in read.items()})
+        each = PREFIX + "THRESHOLD_"
+        per = tuple(sorted((k[len(each) :].upper(), float(v)) for k, v in env.items() if k.startswith(each) and v))
+        return Settings(**{k: kinds[k](v) for k, v in read.items()}, thresholds=per)
+
+    def threshold_of(self, kernel: str) -> float:
+        return dict(self.thresholds).get(kernel.upper(), self.threshold)
 
     def with_tile(self, tile: int) -> "Settings":
         if tile < 0:

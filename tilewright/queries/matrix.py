@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import cost
@@ -82,10 +85,21 @@ QUERIES: dict = {}
 SQL: dict = {}
 
 
+#: Queries that are registered over tiles of 8 as well: ragged edges, several tiles along every dimension.
+TILED = {
+    "gemm_nn", "gemmt_l", "gemmt_u", "gemmt_0", "syrk_ln", "syrk_ut", "syr2k_ln", "syr2k_ut", "herk_ln", "herk_uc", "her2k_ln", "her2k_uc",
+    "symm_ll", "symm_ru", "hemm_lu", "hemm_rl", "trmm_llnn", "trmm_lutu", "trmm_runn", "trmm_rltu", "trmm_z_luc", "trsm_lln", "trsm_lut", "trsm_run", "trsm_z_rlc",
+}
+
+
 def _register(name: str, run, sql: str | None) -> None:
     QUERIES[name] = run
     if sql is not None:
         SQL[name] = sql
+    if name in TILED:
+        QUERIES[f"{name}_tiled"] = functools.partial(run, method="tile", tile=8)
+        QUERIES[f"{name}_tiled"].__doc__ = f"{name} over tiles of 8."
+        SQL[f"{name}_tiled"] = sql
 
 
 # -- gemm in every pair of flags; beta 3 reads C, beta 0 does not
@@ -93,11 +107,11 @@ def _register(name: str, run, sql: str | None) -> None:
 
 def _gemm_case(ta: str, tb: str):
     # fixtures whose op() dimensions fit: op(A) is 37 x 29, op(B) is 29 x 23
-    def run(spark: SparkSession, sf: str) -> DataFrame:
+    def run(spark: SparkSession, sf: str, **form) -> DataFrame:
         a, b, c = (fixture(spark, sf, n) for n in "abc")
         a = a if ta == "N" else a.transposed()
         b = b if tb == "N" else b.transposed()
-        return blas3.gemm(a, b, c, 2.0, 3.0, ta, tb).df
+        return blas3.gemm(a, b, c, 2.0, 3.0, ta, tb, **form).df
 
     return run
 
@@ -119,11 +133,8 @@ _register(
     lambda spark, sf: blas3.gemm(fixture(spark, sf, "a"), fixture(spark, sf, "b"), fixture(spark, sf, "c"), 0.0, 3.0).df,
     f"WITH {_fixture_sql('c')} SELECT i, j, 3.0 * v AS v FROM c",
 )
-_register(
-    "gemm_tiled",
-    lambda spark, sf: blas3.gemm(fixture(spark, sf, "a"), fixture(spark, sf, "b"), fixture(spark, sf, "c"), 2.0, 3.0, method="tile").df,
-    _GEMM_SQL,
-)
+# the bench's name for the product over the default tiles of 512
+_register("gemm_tiled", functools.partial(_gemm_case("N", "N"), method="tile"), _GEMM_SQL)
 
 
 def gemm_float(spark: SparkSession, sf: str) -> DataFrame:
@@ -144,37 +155,72 @@ _Z_AB = [_fixture_z_sql("a", "a", "a2"), _fixture_z_sql("b", "b", "b2")]
 _register("gemm_complex", gemm_complex, _sum_sql(_Z_AB, [_product_sql("a", "b", 2 - 1j, cplx=True)], True))
 _register("gemm_complex_c", lambda spark, sf: gemm_complex(spark, sf, "C"), _sum_sql(_Z_AB, [_product_sql("a", "b", 2 - 1j, cplx=True)], True))
 
+
+
+def _gemm_z_case(ta: str, tb: str):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        a, b = fixture_z(spark, sf, "a", "a2"), fixture_z(spark, sf, "b", "b2")
+        turn = lambda m, t: m.transposed() if t == "C" else m.transposed(conjugate=t == "T")
+        return blas3.gemm(turn(a, ta), turn(b, tb), None, 1.0, 0.0, ta, tb).df
+
+    return run
+
+
+# the operands are stored so that the flags give conjugates: op(A) is conj(A) for T and C alike
+_Z_CONJ = [f"{n}c AS (SELECT i, j, re, -im AS im FROM {n})" for n in "ab"]
+for _ta, _tb in (("T", "T"), ("C", "C"), ("T", "C")):
+    _register(f"gemm_z_{_ta}{_tb}".lower(), _gemm_z_case(_ta, _tb), _sum_sql([*_Z_AB, *_Z_CONJ], [_product_sql("ac", "bc", 1.0, cplx=True)], True))
+
 # -- the largest stored matrix of the coordinate table times its transpose
 
 
 def gram_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    """Per stored matrix M, the lower triangle of M M^T, values taken as whole numbers."""
-    t = read_table(spark, sf, "coo_real").where(F.col("v").isNotNull() & ~F.isnan("v"))
-    t = t.select("mat", "i", "j", F.floor("v").cast("double").alias("v")).distinct().groupBy("mat", "i", "j").agg(F.max("v").alias("v"))
-    x = t.select("mat", "i", F.col("j").alias("k"), F.col("v").alias("x"))
-    y = t.select(F.col("mat").alias("m2"), F.col("i").alias("j"), F.col("j").alias("k2"), F.col("v").alias("y"))
-    pairs = x.join(y, (F.col("mat") == F.col("m2")) & (F.col("k") == F.col("k2")) & (F.col("i") >= F.col("j")))
-    return pairs.groupBy("mat", "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+    """Per stored matrix M, the lower triangle of M M^T, in one call.
+
+    Row i of the m-th matrix is row m S + i of one block-diagonal matrix, whose
+    product with its transpose is block-diagonal again.
+    """
+    t = read_table(spark, sf, "coo_real").where(F.col("mat").isNotNull() & F.col("v").isNotNull() & ~F.isnan("v"))
+    order, size = t.agg(F.max(F.greatest("i", "j"))).first()[0], t.select("mat").distinct().count()
+    stride = int(order or 0) + 1
+    number = t.select("mat").distinct().select("mat", (F.row_number().over(Window.orderBy("mat")) - 1).cast("long").alias("_m"))  # a row per matrix
+    placed = t.join(number, "mat").select((F.col("_m") * stride + F.col("i")).alias("i"), (F.col("_m") * stride + F.col("j")).alias("j"), "v")
+    gram = blas3.syrk(from_table(placed, size * stride, size * stride)).df
+    back = gram.select(F.expr(f"i div {stride}").alias("_g"), (F.col("i") % stride).alias("i"), (F.col("j") % stride).alias("j"), "v")
+    return back.join(number, F.col("_g") == F.col("_m")).select("mat", "i", "j", "v")
 
 
 _register(
     "syrk_stored",
     gram_matrix,
-    """WITH t AS (SELECT mat, i, j, max(floor(v)) AS v FROM coo_real WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY 1, 2, 3)
+    """WITH t AS (SELECT DISTINCT mat, i, j, v FROM coo_real WHERE mat IS NOT NULL AND i IS NOT NULL AND j IS NOT NULL AND v IS NOT NULL AND NOT isnan(v))
 SELECT x.mat, x.i, y.i AS j, sum(x.v * y.v) AS v FROM t x JOIN t y ON x.mat = y.mat AND x.j = y.j AND x.i >= y.i GROUP BY 1, 2, 3""",
 )
 
+
+def syrk_float(spark: SparkSession, sf: str) -> DataFrame:
+    a = fixture(spark, sf, "a")
+    return blas3.syrk(from_table(a.df, a.nrows, a.ncols, "s")).df
+
+
+_register("syrk_float", syrk_float, f"SELECT i, j, CAST(v AS FLOAT) AS v FROM ({_sum_sql([_fixture_sql('a')], [_product_sql('a', _op_sql('a', 'T'), 1.0, 'x.i >= y.j')])})")
+
 # -- gemmt, syrk, syr2k, herk, her2k on either triangle
 
+_register(
+    "gemmt_0",
+    lambda spark, sf, **form: blas3.gemmt(*(fixture(spark, sf, n) for n in ("a", "a2", "q")), 0, 2.0, 3.0, "N", "T", **form).df,
+    _sum_sql([_fixture_sql(n) for n in ("a", "a2", "q")], [_product_sql("a", _op_sql("a2", "T"), 2.0), "SELECT i, j, 3.0 * v AS v FROM q"]),
+)
 for _u in "LU":
     _in = "x.i >= y.j" if _u == "L" else "x.i <= y.j"
     _out = "i < j" if _u == "L" else "i > j"
     _stays = f"SELECT i, j, v FROM q WHERE {_out}"
     _scaled = f"SELECT i, j, 3.0 * v AS v FROM q WHERE NOT ({_out})"
 
-    def _gemmt(spark, sf, u=_u):
+    def _gemmt(spark, sf, u=_u, **form):
         a, a2, q = (fixture(spark, sf, n) for n in ("a", "a2", "q"))
-        return blas3.gemmt(a, a2, q, u, 2.0, 3.0, "N", "T").df
+        return blas3.gemmt(a, a2, q, u, 2.0, 3.0, "N", "T", **form).df
 
     _register(
         f"gemmt_{_u.lower()}", _gemmt,
@@ -183,19 +229,19 @@ for _u in "LU":
     for _t in "NT":
         _ta, _tb = ("a", _op_sql("a", "T"))
 
-        def _syrk(spark, sf, u=_u, t=_t):
+        def _syrk(spark, sf, u=_u, t=_t, **form):
             a, q = fixture(spark, sf, "a"), fixture(spark, sf, "q")
-            return blas3.syrk(a if t == "N" else a.transposed(), q, u, t, 2.0, 3.0).df
+            return blas3.syrk(a if t == "N" else a.transposed(), q, u, t, 2.0, 3.0, **form).df
 
         _register(
             f"syrk_{_u.lower()}{_t.lower()}", _syrk,
             _sum_sql([_fixture_sql("a"), _fixture_sql("q")], [_product_sql("a", _op_sql("a", "T"), 2.0, _in), _scaled, _stays]),
         )
 
-        def _syr2k(spark, sf, u=_u, t=_t):
+        def _syr2k(spark, sf, u=_u, t=_t, **form):
             a, a2, q = (fixture(spark, sf, n) for n in ("a", "a2", "q"))
             turn = (lambda m: m) if t == "N" else (lambda m: m.transposed())
-            return blas3.syr2k(turn(a), turn(a2), q, u, t, 2.0, 3.0).df
+            return blas3.syr2k(turn(a), turn(a2), q, u, t, 2.0, 3.0, **form).df
 
         _register(
             f"syr2k_{_u.lower()}{_t.lower()}", _syr2k,
@@ -209,19 +255,19 @@ for _u in "LU":
     _zscaled = f"SELECT i, j, 3.0 * re AS re, 3.0 * CASE WHEN i = j THEN 0 ELSE im END AS im FROM q WHERE NOT ({_out})"
     for _t in "NC":
 
-        def _herk(spark, sf, u=_u, t=_t):
+        def _herk(spark, sf, u=_u, t=_t, **form):
             a, q = fixture_z(spark, sf, "a", "a2"), fixture_z(spark, sf, "q", "q2")
-            return blas3.herk(a if t == "N" else a.transposed(conjugate=True), q, u, t, 2.0, 3.0).df
+            return blas3.herk(a if t == "N" else a.transposed(conjugate=True), q, u, t, 2.0, 3.0, **form).df
 
         _register(
             f"herk_{_u.lower()}{_t.lower()}", _herk,
             _sum_sql([_zc[0], _zc[2]], [_product_sql("a", _op_sql("a", "C", True), 2.0, _in, True), _zscaled, _zstays], True, True),
         )
 
-        def _her2k(spark, sf, u=_u, t=_t):
+        def _her2k(spark, sf, u=_u, t=_t, **form):
             a, e, q = fixture_z(spark, sf, "a", "a2"), fixture_z(spark, sf, "a2", "a"), fixture_z(spark, sf, "q", "q2")
             turn = (lambda m: m) if t == "N" else (lambda m: m.transposed(conjugate=True))
-            return blas3.her2k(turn(a), turn(e), q, u, t, 2 + 1j, 3.0).df
+            return blas3.her2k(turn(a), turn(e), q, u, t, 2 + 1j, 3.0, **form).df
 
         _register(
             f"her2k_{_u.lower()}{_t.lower()}", _her2k,
@@ -240,9 +286,9 @@ for _s in "LR":
         _full = f"f AS (SELECT * FROM s WHERE {_keep} UNION ALL SELECT j, i, v FROM s WHERE {_strict})"
         _pair = ("f", "r") if _s == "L" else ("r", "f")
 
-        def _symm(spark, sf, s=_s, u=_u):
+        def _symm(spark, sf, s=_s, u=_u, **form):
             a, r, c = (fixture(spark, sf, n) for n in ("s", "r", "s2"))
-            return blas3.symm(a, r, c, s, u, 2.0, 3.0).df
+            return blas3.symm(a, r, c, s, u, 2.0, 3.0, **form).df
 
         _register(
             f"symm_{_s.lower()}{_u.lower()}", _symm,
@@ -250,13 +296,16 @@ for _s in "LR":
         )
         _zfull = f"f AS (SELECT i, j, re, CASE WHEN i = j THEN 0 ELSE im END AS im FROM s WHERE {_keep} UNION ALL SELECT j, i, re, -im FROM s WHERE {_strict})"
 
-        def _hemm(spark, sf, s=_s, u=_u):
-            a, r = fixture_z(spark, sf, "s", "s2"), fixture_z(spark, sf, "r", "r")
-            return blas3.hemm(a, r, None, s, u, 1 + 2j, 0.0).df
+        def _hemm(spark, sf, s=_s, u=_u, **form):
+            a, r, c = (fixture_z(spark, sf, *n) for n in (("s", "s2"), ("r", "r"), ("s2", "s")))
+            return blas3.hemm(a, r, c, s, u, 1 + 2j, 3.0, **form).df
 
         _register(
             f"hemm_{_s.lower()}{_u.lower()}", _hemm,
-            _sum_sql([_fixture_z_sql("s", "s", "s2"), _fixture_z_sql("r", "r", "r"), _zfull], [_product_sql(*_pair, 1 + 2j, cplx=True)], True),
+            _sum_sql(
+                [_fixture_z_sql("s", "s", "s2"), _fixture_z_sql("r", "r", "r"), _fixture_z_sql("c", "s2", "s"), _zfull],
+                [_product_sql(*_pair, 1 + 2j, cplx=True), "SELECT i, j, 3.0 * re AS re, 3.0 * im AS im FROM c"], True,
+            ),
         )
 
 # -- trmm and trsm in all cases of side, triangle, transposition and diagonal
@@ -281,8 +330,8 @@ for _s in "LR":
                 _tri = _op_sql("t", _t)
                 _pair = (_tri, "r") if _s == "L" else ("r", _tri)
 
-                def _trmm(spark, sf, s=_s, u=_u, t=_t, d=_d):
-                    return blas3.trmm(fixture(spark, sf, "s"), fixture(spark, sf, "r"), s, u, t, d, 2.0).df
+                def _trmm(spark, sf, s=_s, u=_u, t=_t, d=_d, **form):
+                    return blas3.trmm(fixture(spark, sf, "s"), fixture(spark, sf, "r"), s, u, t, d, 2.0, **form).df
 
                 _register(
                     f"trmm_{_s}{_u}{_t}{_d}".lower(), _trmm,
@@ -291,17 +340,61 @@ for _s in "LR":
             # the right-hand side is made from a known X, which the solve must give back
             _rows, _cols = (31, 5) if _s == "L" else (5, 31)
 
-            def _trsm(spark, sf, s=_s, u=_u, t=_t, rows=_rows, cols=_cols):
+            def _trsm(spark, sf, s=_s, u=_u, t=_t, rows=_rows, cols=_cols, method="coo", tile=8):
                 a = fixture(spark, sf, "s")
                 small = a.with_df(a.df.withColumn("v", F.col("v") % 3 - 1))
                 x = unit_solution(spark, rows, cols)
                 rhs = blas3.trmm(small, x, s, u, t, "U", 0.5)
-                return blas3.trsm(small, rhs, s, u, t, "U", 2.0, panel=16).df
+                return blas3.trsm(small, rhs, s, u, t, "U", 2.0, panel=16, method=method, tile=tile).df
+
+            _solution = f"SELECT range // {_cols} AS i, range % {_cols} AS j, CAST((5 * (range // {_cols}) + range % {_cols}) % 17 - 8 AS DOUBLE) AS v FROM range({_rows * _cols})"
+            _register(f"trsm_{_s}{_u}{_t}".lower(), _trsm, _solution)
+
+            def _trsm_nonunit(spark, sf, s=_s, u=_u, t=_t, rows=_rows, cols=_cols):
+                """Pivots are powers of two, so that every quotient is exact."""
+                a = fixture(spark, sf, "s")
+                value = F.when(F.col("i") == F.col("j"), F.pow(F.lit(2.0), F.col("i") % 3)).otherwise(F.col("v") % 3 - 1)
+                full = a.with_df(a.df.withColumn("v", value))
+                rhs = blas3.trmm(full, unit_solution(spark, rows, cols), s, u, t, "N", 0.5)
+                return blas3.trsm(full, rhs, s, u, t, "N", 2.0, tile=8).df
+
+            _register(f"trsm_{_s}{_u}{_t}_nonunit".lower(), _trsm_nonunit, _solution)
 
-            _register(
-                f"trsm_{_s}{_u}{_t}".lower(), _trsm,
-                f"SELECT range // {_cols} AS i, range % {_cols} AS j, CAST((5 * (range // {_cols}) + range % {_cols}) % 17 - 8 AS DOUBLE) AS v FROM range({_rows * _cols})",
-            )
+# -- the same with complex elements and conjugate transposes
+
+
+def _complex_solution(spark: SparkSession, rows: int, cols: int) -> Matrix:
+    x = unit_solution(spark, rows, cols).df.select("i", "j", F.col("v").alias("re"), ((3 * F.col("i") + 2 * F.col("j")) % 11 - 5).cast("double").alias("im"))
+    return Matrix(x, rows, cols, "z")
+
+
+for _s in "LR":
+    for _u in "LU":
+        _keep = "i > j" if _u == "L" else "i < j"
+        _ones = " UNION ALL SELECT range, range, 1.0, 0.0 FROM range(31)"
+        _tri = f"t AS (SELECT i, j, re, im FROM s WHERE {_keep}{_ones})"
+        _pair = (_op_sql("t", "C", True), "r") if _s == "L" else ("r", _op_sql("t", "C", True))
+
+        def _trmm_z(spark, sf, s=_s, u=_u, **form):
+            return blas3.trmm(fixture_z(spark, sf, "s", "s2"), fixture_z(spark, sf, "r", "r"), s, u, "C", "U", 1 + 2j, **form).df
+
+        _register(
+            f"trmm_z_{_s}{_u}c".lower(), _trmm_z,
+            _sum_sql([_fixture_z_sql("s", "s", "s2"), _fixture_z_sql("r", "r", "r"), _tri], [_product_sql(*_pair, 1 + 2j, cplx=True)], True),
+        )
+        _rows, _cols = (31, 5) if _s == "L" else (5, 31)
+
+        def _trsm_z(spark, sf, s=_s, u=_u, rows=_rows, cols=_cols, method="coo", tile=8):
+            a = fixture_z(spark, sf, "s", "s2")
+            small = a.with_df(a.df.select("i", "j", (F.col("re") % 3 - 1).alias("re"), (F.col("im") % 3 - 1).alias("im")))
+            rhs = blas3.trmm(small, _complex_solution(spark, rows, cols), s, u, "C", "U", 0.5)
+            return blas3.trsm(small, rhs, s, u, "C", "U", 2.0, panel=16, method=method, tile=tile).df
+
+        _register(
+            f"trsm_z_{_s}{_u}c".lower(), _trsm_z,
+            f"""SELECT i, j, CAST((5 * i + j) % 17 - 8 AS DOUBLE) AS re, CAST((3 * i + 2 * j) % 11 - 5 AS DOUBLE) AS im
+FROM (SELECT range // {_cols} AS i, range % {_cols} AS j FROM range({_rows * _cols}))""",
+        )
 
 # -- copy-and-scale, extend-add, column swap, frontal update
 
@@ -321,44 +414,56 @@ _register(
     lambda spark, sf: frontal.copyscale(_pivots(spark, 37), fixture(spark, sf, "a"))[1].df,
     f"WITH {_fixture_sql('a')} SELECT j AS i, i AS j, v FROM a",
 )
-_INDEX = "SELECT range AS pos, (range * 7) % 31 + 1 AS idx FROM range(20)"
 
 
-def _index(spark: SparkSession, n: int = 20) -> DataFrame:
-    return spark.range(n).select(F.col("id").alias("pos"), ((F.col("id") * 7) % 31 + 1).alias("idx"))
+def copyscale_zeros(spark: SparkSession, sf: str) -> DataFrame:
+    """Pivots 2, 0 and -0.0 in turn; what is divided by zero is infinite with its sign."""
+    k = spark.range(37)
+    pivot = F.when(F.col("id") % 3 == 0, F.lit(2.0)).when(F.col("id") % 3 == 1, F.lit(0.0)).otherwise(F.lit(-0.0))
+    d = Matrix(k.select(F.col("id").alias("i"), F.col("id").alias("j"), pivot.alias("v")), 37, 37)
+    scaled = frontal.copyscale(d, fixture(spark, sf, "a"))[0].df
+    return scaled.select("i", "j", F.when(F.abs("v") == float("inf"), F.signum("v") * 1e300).otherwise(F.col("v")).alias("v"))
 
 
-def extend_add(spark: SparkSession, sf: str) -> DataFrame:
-    son = fixture(spark, sf, "r").df.where((F.col("i") < 20) & (F.col("j") < 20))
-    return frontal.extend_add(fixture(spark, sf, "s"), son, _index(spark)).df
+_register(
+    "copyscale_zeros",
+    copyscale_zeros,
+    f"WITH {_fixture_sql('a')} SELECT i, j, CASE i % 3 WHEN 0 THEN v / 2 WHEN 1 THEN 1e300 ELSE -1e300 END AS v FROM a",
+)
 
 
-def extend_add_packed(spark: SparkSession, sf: str) -> DataFrame:
-    son = fixture(spark, sf, "r").df.where((F.col("i") < 20) & (F.col("j") <= F.col("i")))
-    packed = son.select((F.col("i") * (F.col("i") + 1) / 2 + F.col("j")).cast("long").alias("id"), "v")
-    return frontal.extend_add(fixture(spark, sf, "s"), packed, _index(spark), packed=True).df
+def copyscale_complex(spark: SparkSession, sf: str, part: int = 0) -> DataFrame:
+    """Complex pivots 2^k (1 + i), whose reciprocals are exact; U is given and kept."""
+    k = spark.range(37)
+    size = F.pow(F.lit(2.0), F.col("id") % 4)
+    d = Matrix(k.select(F.col("id").alias("i"), F.col("id").alias("j"), size.alias("re"), size.alias("im")), 37, 37, "z")
+    l, u = fixture_z(spark, sf, "a", "a2"), fixture_z(spark, sf, "a2", "a").transposed()
+    return frontal.copyscale(d, l, u, should_copy=False)[part].df
 
 
-_EXTEND_SQL = f"""WITH {_fixture_sql('s')}, {_fixture_sql('r')}, iw AS ({_INDEX})
-SELECT i, j, sum(v) AS v FROM (SELECT i, j, v FROM s UNION ALL
- SELECT x.idx - 1, y.idx - 1, r.v FROM r JOIN iw x ON r.i = x.pos JOIN iw y ON r.j = y.pos WHERE r.j <= r.i) GROUP BY i, j"""
-_register("extend_add", extend_add, _EXTEND_SQL)
-_register("extend_add_packed", extend_add_packed, _EXTEND_SQL)
+_register(
+    "copyscale_complex",
+    copyscale_complex,
+    f"WITH {_fixture_z_sql('a', 'a', 'a2')} SELECT i, j, (re + im) / (2 * pow(2.0, i % 4)) AS re, (im - re) / (2 * pow(2.0, i % 4)) AS im FROM a",
+)
+_register("copyscale_kept", lambda spark, sf: copyscale_complex(spark, sf, 1), f"WITH {_fixture_z_sql('a', 'a2', 'a')} SELECT j AS i, i AS j, re, im FROM a")
+_INDEX = "SELECT range AS pos, (range * 7) % 31 + 1 AS idx FROM range(31)"
 
 
-def extend_add_whole(spark: SparkSession, sf: str, packed: bool = False) -> DataFrame:
+def extend_add(spark: SparkSession, sf: str, packed: bool = False) -> DataFrame:
     """The whole 31 x 31 son, its index being a permutation of the front."""
+    index = spark.range(31).select(F.col("id").alias("pos"), ((F.col("id") * 7) % 31 + 1).alias("idx"))
     son = fixture(spark, sf, "r").df
     if packed:
         son = son.where("j <= i").select((F.col("i") * (F.col("i") + 1) / 2 + F.col("j")).cast("long").alias("id"), "v")
-    return frontal.extend_add(fixture(spark, sf, "s"), son, _index(spark, 31), packed=packed).df
+    return frontal.extend_add(fixture(spark, sf, "s"), son, index, packed=packed).df
 
 
-_EXTEND_WHOLE_SQL = f"""WITH {_fixture_sql('s')}, {_fixture_sql('r')}, iw AS (SELECT range AS pos, (range * 7) % 31 + 1 AS idx FROM range(31))
+_EXTEND_SQL = f"""WITH {_fixture_sql('s')}, {_fixture_sql('r')}, iw AS ({_INDEX})
 SELECT i, j, sum(v) AS v FROM (SELECT i, j, v FROM s UNION ALL
  SELECT x.idx - 1, y.idx - 1, r.v FROM r JOIN iw x ON r.i = x.pos JOIN iw y ON r.j = y.pos WHERE r.j <= r.i) GROUP BY i, j"""
-_register("extend_add_whole", extend_add_whole, _EXTEND_WHOLE_SQL)
-_register("extend_add_packed_whole", lambda spark, sf: extend_add_whole(spark, sf, packed=True), _EXTEND_WHOLE_SQL)
+_register("extend_add", extend_add, _EXTEND_SQL)
+_register("extend_add_packed", functools.partial(extend_add, packed=True), _EXTEND_SQL)
 _register(
     "swap_columns",
     lambda spark, sf: frontal.swap_columns(fixture(spark, sf, "a"), 3, 28).df,
@@ -402,6 +507,7 @@ def block_cyclic(spark: SparkSession, sf: str) -> DataFrame:
         distribution.block_cyclic_1d(ti, tj, 2, 8, True, 8).cast("int").alias("by_row"),
         distribution.cyclic(ti, tj, 15, 8).cast("int").alias("cyclic"),
         distribution.diagonal_cyclic(ti, tj, 8).cast("int").alias("diagonal"),
+        distribution.single(ti, tj, 5, 8).cast("int").alias("single"),
     )
 
 
@@ -411,7 +517,7 @@ _register(
     "block_cyclic",
     block_cyclic,
     f"""WITH {_GRID_SQL} SELECT ti, tj, rows, cols, CAST((((ti // 2) % 2) * 4 + (tj // 3) % 4) % 8 AS INT) AS map2d,
- CAST((tj // 2) % 8 AS INT) AS by_column, CAST((ti // 2) % 8 AS INT) AS by_row, CAST((ti * 15 + tj) % 8 AS INT) AS cyclic, CAST((ti + tj) % 8 AS INT) AS diagonal FROM t""",
+ CAST((tj // 2) % 8 AS INT) AS by_column, CAST((ti // 2) % 8 AS INT) AS by_row, CAST((ti * 15 + tj) % 8 AS INT) AS cyclic, CAST((ti + tj) % 8 AS INT) AS diagonal, 5 AS single FROM t""",
 )
 
 
@@ -419,13 +525,14 @@ def distributed_tiles(spark: SparkSession, sf: str) -> DataFrame:
     """Tiles per device once they are placed by the automatic grid of six devices."""
     gp, gq = distribution.auto_grid(6)
     placed = distribution.assign(_grid(spark), distribution.block_cyclic_2d(F.col("ti"), F.col("tj"), 1, 1, gp, gq, 6))
-    return distribution.distribute(placed, 6).groupBy("pid").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("rows") * F.col("cols")).alias("entries"))
+    at = distribution.distribute(placed, 6).withColumn("partition", F.spark_partition_id())
+    return at.groupBy("pid", "partition").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("rows") * F.col("cols")).alias("entries"))
 
 
 _register(
     "distribute",
     distributed_tiles,
-    f"WITH {_GRID_SQL} SELECT CAST((ti % 3) * 2 + tj % 2 AS INT) AS pid, count(*) AS n, CAST(sum(rows * cols) AS BIGINT) AS entries FROM t GROUP BY 1",
+    f"WITH {_GRID_SQL} SELECT CAST((ti % 3) * 2 + tj % 2 AS INT) AS pid, CAST((ti % 3) * 2 + tj % 2 AS INT) AS partition, count(*) AS n, CAST(sum(rows * cols) AS BIGINT) AS entries FROM t GROUP BY 1, 2",
 )
 _register(
     "coherent_upper",
@@ -481,6 +588,12 @@ _register(
     """SELECT 'gemm_' || m || '_' || n || '_' || k AS task, m, n, k, CASE WHEN k > 0 THEN 'gemm_' || m || '_' || n || '_' || (k - 1) END AS after
 FROM (SELECT range // 12 AS m, (range // 3) % 4 AS n, range % 3 AS k FROM range(60))""",
 )
+_register(
+    "task_graph_dot",
+    lambda spark, sf: distribution.to_dot(distribution.task_graph(spark, "gemm", 5, 4, 3)),
+    """SELECT '"gemm_' || m || '_' || n || '_' || (k - 1) || '" -> "gemm_' || m || '_' || n || '_' || k || '";' AS line
+FROM (SELECT range // 12 AS m, (range // 3) % 4 AS n, range % 3 AS k FROM range(60)) WHERE k > 0""",
+)
 
 # -- cost formulas over dimensions taken from orders and parts
 
@@ -540,6 +653,10 @@ def cost_factorizations(spark: SparkSession, sf: str) -> DataFrame:
     return _dims(spark, sf).select(
         "o_orderkey", whole(cost.flops_potrf(n)).alias("potrf"), whole(cost.flops_potri(n)).alias("potri"), whole(cost.flops_potrs(n, k)).alias("potrs"),
         whole(cost.flops_getri(n)).alias("getri"), whole(cost.flops_getrs(n, k)).alias("getrs"), whole(cost.flops_trtri(n)).alias("trtri"), whole(cost.flops_gemv(m, n)).alias("gemv"),
+        whole(cost.flops_getrf(m, n)).alias("getrf"), whole(cost.flops_symv(n, "z")).alias("hemv_z"), whole(cost.flops_sytrf(n)).alias("sytrf"),
+        whole(cost.flops_geqrf(m, n)).alias("geqrf"), whole(cost.flops_gerqf(m, n)).alias("gerqf"), whole(cost.flops_ungqr(m, n, k)).alias("ungqr"),
+        whole(cost.flops_ungrq(m, n, k)).alias("ungrq"), whole(cost.flops_geqrs(m, n, k)).alias("geqrs"), whole(cost.flops_gehrd(n)).alias("gehrd"),
+        whole(cost.flops_hetrd(n)).alias("hetrd"), whole(cost.flops_gebrd(m, n)).alias("gebrd"),
     )
 
 
@@ -548,7 +665,17 @@ _register(
     cost_factorizations,
     f"""WITH {_DIMS} SELECT o_orderkey, CAST(round(n * (2 * n * n + 3 * n + 1) / 6) AS BIGINT) AS potrf, CAST(round(n * (4 * n * n + 3 * n + 5) / 6) AS BIGINT) AS potri,
  CAST(round(2 * k * n * n) AS BIGINT) AS potrs, CAST(round(n * (4 * n * n - 3 * n + 5) / 3) AS BIGINT) AS getri, CAST(round(k * n * (2 * n - 1)) AS BIGINT) AS getrs,
- CAST(round(n * (n * n + 2) / 3) AS BIGINT) AS trtri, CAST(round(2 * m * n + 2 * m) AS BIGINT) AS gemv FROM d""",
+ CAST(round(n * (n * n + 2) / 3) AS BIGINT) AS trtri, CAST(round(2 * m * n + 2 * m) AS BIGINT) AS gemv,
+ CAST(round((6 * l * l * h - 2 * l * l * l - 3 * l * l + 5 * l) / 6) AS BIGINT) AS getrf, CAST(round(8 * n * n + 12 * n) AS BIGINT) AS hemv_z,
+ CAST(round(n * (2 * n * n + 3 * n + 1) / 6) AS BIGINT) AS sytrf,
+ CAST(round(CASE WHEN m > n THEN (6 * l * l * h - 2 * l * l * l + 3 * l * l + 3 * l * h + 14 * l) / 3 ELSE (6 * l * l * h - 2 * l * l * l - 3 * l * l + 9 * l * h + 14 * l) / 3 END) AS BIGINT) AS geqrf,
+ CAST(round(CASE WHEN m > n THEN (6 * l * l * h - 2 * l * l * l + 6 * l * h + 17 * l) / 3 ELSE (6 * l * l * h - 2 * l * l * l + 6 * l * h + 17 * l) / 3 END) AS BIGINT) AS gerqf,
+ CAST(round(4 * m * n * k + 4 * k * k * k / 3 - 2 * k * k * (m + n) - k * k + k * (3 * n - m) - 4 * k / 3) AS BIGINT) AS ungqr,
+ CAST(round(4 * m * n * k + 4 * k * k * k / 3 - 2 * k * k * (m + n) - k * k + 2 * k * m - k / 3) AS BIGINT) AS ungrq,
+ CAST(round(k * n * (4 * m - n + 3)) AS BIGINT) AS geqrs, CAST(round((20 * n * n * n - 3 * n * n - 11 * n) / 6 - 21) AS BIGINT) AS gehrd,
+ CAST(round((8 * n * n * n + 21 * n * n - 17 * n) / 6 - 19) AS BIGINT) AS hetrd,
+ CAST(round(4 * l * l * h - 4 * l * l * l / 3 + 3 * l * l - h * l + 25 * l / 3) AS BIGINT) AS gebrd
+ FROM (SELECT *, least(m, n) AS l, greatest(m, n) AS h FROM d)""",
 )
 
 KERNELS = ("GEMM", "GEMMT", "SYMM", "HEMM", "SYRK", "HERK", "SYR2K", "HER2K", "TRMM", "TRSM", "SWAP", "COPYSCALE")

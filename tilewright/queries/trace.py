@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import cost
 from ..operators import trace_tables as tt
 from ..sources.tables import read_table
 
@@ -57,6 +59,21 @@ def trace_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return tt.exit_statistics(trace_task(spark, sf))
 
 
+def trace_costs(spark: SparkSession, sf: str) -> DataFrame:
+    """The statistics with operations and intensity; a format's tile order is taken from its number."""
+    order = F.col("fmtid") % 256 + 1
+    names = tt.format_names(read_table(spark, sf, "fmttrace_def")).where(F.col("name").rlike("^[sdcz]?gemm"))
+    costs = names.select("name", cost.flops_gemm(order, order, order).alias("flops"), cost.bytes_gemm(order, order, order).alias("bytes"))
+    found = tt.exit_statistics(trace_task(spark, sf), costs)
+    return found.select("resource", "name", "n", "time_ns", "flops", F.round("ai", 6).alias("ai"), F.round("mean_ai", 6).alias("mean_ai"))
+
+
+def trace_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Tasks as the CSV file holds them, times read back from their text."""
+    made = tt.csv_table("task", trace_task(spark, sf))
+    return made.withColumns({c: F.col(c).cast("double") for c in ("Push", "Start", "End", "Duration")})
+
+
 def trace_counters(spark: SparkSession, sf: str) -> DataFrame:
     """Readings of the software counters."""
     return tt.counters(*_t(spark, sf, "kaapi_event"))
@@ -109,7 +126,7 @@ SQL_PARALLEL = f"""WITH {_valid(0)}, r AS (SELECT * FROM v WHERE d0 BETWEEN 0 AN
  j AS (SELECT r.file_id, r.kid, s.date AS a, r.date AS z, CASE s.d0 WHEN 0 THEN 'CPU' WHEN 1 THEN 'CUDA' WHEN 2 THEN 'HIP' ELSE 'INT' END AS type
   FROM r JOIN s ON r.file_id = s.file_id AND r.kid = s.kid AND s.n = 1 WHERE r.kind = 1 AND s.date <= r.date)
 SELECT file_id, kid AS resource, type, {_s('a')} AS start, {_s('z')} AS "end", {_s('z - a')} AS duration, type || '-' || kid AS name FROM j"""
-SQL_CALL = f"""WITH u AS (SELECT file_id, rpos, evtno, kind, kid, date, d0, d1, d2, d3, any_value(name) AS name FROM kaapi_event
+SQL_CALL = f"""WITH u AS (SELECT file_id, rpos, evtno, kind, kid, date, d0, d1, d2, d3, min(name) AS name FROM kaapi_event
   WHERE kid IS NOT NULL AND date > 0 AND ((evtno = 13 AND kind IN (0, 2, 3)) OR (evtno = 9 AND kind = 1)) GROUP BY ALL),
  m AS (SELECT *, coalesce(sum(CASE WHEN evtno = 9 THEN 1 ELSE 0 END) OVER (PARTITION BY file_id, kid ORDER BY date, rpos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s,
   sum(CASE WHEN evtno = 13 AND kind = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY file_id, kid ORDER BY date, rpos ROWS UNBOUNDED PRECEDING) AS c FROM u),
@@ -125,8 +142,17 @@ SQL_EVENTS = f"""SELECT DISTINCT file_id, rpos, CAST(date AS VARCHAR) AS date, k
  CASE {' '.join(f"WHEN evtno = {k} THEN '{n}'" for k, n in enumerate(tt.EVENT_NAMES))} ELSE 'EVENT_' || evtno END AS event FROM kaapi_event"""
 SQL_HEADERS = "SELECT DISTINCT file_id, fileset_id, file_name, header FROM event_file"
 SQL_STATISTICS = f"""SELECT resource, name, count(*) AS n, CAST(sum(CAST(round(duration * 1e9) AS BIGINT)) AS BIGINT) AS time_ns
-FROM ({SQL_TASK}) GROUP BY GROUPING SETS ((resource, name), (resource), (name))"""
-SQL_COUNTERS = f"""WITH {_valid(10)} SELECT kid, d0 AS counter, count(*) AS n, arg_max(d1, (date, file_id, rpos)) AS last FROM v WHERE d0 IS NOT NULL GROUP BY 1, 2"""
+FROM ({SQL_TASK}) GROUP BY GROUPING SETS ((resource, name), (resource), (name), ())"""
+_O = "CAST(fmtid % 256 + 1 AS DOUBLE)"
+SQL_COSTS = f"""WITH costs AS (SELECT name AS cn, max(2 * {_O} * {_O} * {_O}) AS f, max(8 * 3 * {_O} * {_O}) AS b FROM
+  (SELECT fmtid, min(trim(regexp_replace(name, '\\s+', ' ', 'g'))) AS name FROM fmttrace_def WHERE fmtid IS NOT NULL AND fmtid <> 0 GROUP BY 1)
+  WHERE regexp_matches(name, '^[sdcz]?gemm') GROUP BY 1)
+SELECT resource, name, count(*) AS n, CAST(sum(CAST(round(duration * 1e9) AS BIGINT)) AS BIGINT) AS time_ns, sum(coalesce(f, 0.0)) AS flops,
+ round(sum(coalesce(f / b, 0.0)), 6) AS ai, round(avg(coalesce(f / b, 0.0)), 6) AS mean_ai
+FROM ({SQL_TASK}) LEFT JOIN costs ON name = cn GROUP BY GROUPING SETS ((resource, name), (resource), (name), ())"""
+SQL_CSV = f"""SELECT resource AS "Resource", type AS "Type", push AS "Push", start AS "Start", "end" AS "End", duration AS "Duration", name AS "Name", task_id AS "TaskId" FROM ({SQL_TASK})"""
+_COUNTERS = " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(tt.COUNTER_NAMES) if n)
+SQL_COUNTERS = f"""WITH {_valid(10)} SELECT kid, d0 AS counter, CASE d0 {_COUNTERS} END AS name, count(*) AS n, arg_max(d1, (date, file_id, rpos)) AS last FROM v WHERE d0 IS NOT NULL GROUP BY 1, 2, 3"""
 
 QUERIES = {
     "trace_task": trace_task,
@@ -139,6 +165,8 @@ QUERIES = {
     "trace_headers": trace_headers,
     "trace_statistics": trace_statistics,
     "trace_counters": trace_counters,
+    "trace_costs": trace_costs,
+    "trace_csv": trace_csv,
 }
 SQL = {
     "trace_task": SQL_TASK,
@@ -151,4 +179,6 @@ SQL = {
     "trace_headers": SQL_HEADERS,
     "trace_statistics": SQL_STATISTICS,
     "trace_counters": SQL_COUNTERS,
+    "trace_costs": SQL_COSTS,
+    "trace_csv": SQL_CSV,
 }
