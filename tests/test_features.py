@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tilewright.operators.features import feature_table
+from tilewright.operators.features import feature_cells, feature_table
 
 SCHEMA = "f long, k int, y int, z int, t long, r long, v long, n_events string"
 
@@ -39,16 +39,46 @@ def check(spark, rows, **kw):
     return table
 
 
-@pytest.mark.parametrize("target", [10**9, 300])
-def test_against_brute_force(spark, target):
-    check(spark, make_rows(3, 1500), target_rows=target)
+@pytest.fixture(params=["1", "4", "29"])
+def ranges(spark, request):
+    """The same results from any number of ranges."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", request.param)
+    yield int(request.param)
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_against_brute_force(spark, ranges):
+    check(spark, make_rows(3, 1500))
+
+
+def test_cells(spark, ranges):
+    rows = make_rows(6, 600)
+    cells = feature_cells(spark.createDataFrame(rows, SCHEMA), ["f", "k"], ["y", "z"], "t", totals=["v"], record=["r"])
+    assert cells.columns == ["f", "k", "y", "z", "n", "first", "last", "sum_v"]
+    expected = [(*e, *y, *c) for e, x in brute(rows).items() for y, c in x["types"].items()]
+    assert sorted(tuple(r) for r in cells.collect()) == sorted(expected)
+
+
+def test_wide_slices(spark, monkeypatch):
+    from tilewright.operators import features
+
+    monkeypatch.setattr(features, "_CELLS", 1)
+    check(spark, make_rows(8, 100))
+
+
+@pytest.mark.parametrize("rows", [10**6, 10**12])
+def test_no_task_holds_more_than_a_range(rows):
+    from tilewright.plans.ranges import RANGE_BYTES, ranges_for
+
+    size = rows * 48
+    assert size / ranges_for(size, 200) <= RANGE_BYTES
 
 
 def test_small_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
         check(spark, make_rows(4, 400))
-        check(spark, make_rows(4, 400), target_rows=50)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 

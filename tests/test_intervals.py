@@ -42,17 +42,34 @@ def make_rows(seed, n, spread, longest):
     return rows
 
 
-@pytest.mark.parametrize("target", [10**9, 200])
+@pytest.fixture(params=["1", "4", "37"])
+def shards(spark, request):
+    """The same results from any number of shards."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", request.param)
+    yield int(request.param)
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 @pytest.mark.parametrize("seed,n,spread,longest", [(1, 900, 20000, 30), (2, 900, 3000, 2000), (3, 900, 100000, 40)])
-def test_against_brute_force(spark, seed, n, spread, longest, target):
+def test_against_brute_force(spark, seed, n, spread, longest, shards):
     rows = make_rows(seed, n, spread, longest)
-    assert both(spark, rows, target_rows=target) == brute(rows)
+    assert both(spark, rows) == brute(rows)
 
 
-def test_huge_entity_with_ties_and_cover(spark):
+def test_small_batches(spark, shards):
+    rows = make_rows(4, 300, 3000, 60)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert both(spark, rows) == brute(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_huge_entity_with_ties_and_cover(spark, shards):
     # one interval covers most shards, many begin at one instant
     rows = [(1, 1, 0, 5000, None)] + [(1, 1, 100, 101, None)] * 400 + [(1, 1, 6000 + 3 * i, 6001 + 3 * i, None) for i in range(600)]
-    assert both(spark, rows, target_rows=100) == brute(rows)
+    assert both(spark, rows) == brute(rows)
 
 
 def test_nulls_repeats_empty(spark):

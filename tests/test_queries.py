@@ -46,6 +46,6 @@ def test_extend_add_of_the_whole_son(spark, name):
     assert total(QUERIES[name](spark, SF)) == total(fixture(spark, SF, "s").df) + total(son)
 
 
-def test_p6_record_statistics_counts_a_record_once(spark, duck):
+def test_p6_statistics_counts_a_record_once(spark, duck):
     records = duck.execute("SELECT count(*) FROM (SELECT DISTINCT file_id, rpos FROM kaapi_event WHERE kid IS NOT NULL AND date > 0)").fetchone()[0]
-    assert QUERIES["p6_record_statistics"](spark, SF).agg({"n": "sum"}).first()[0] == records
+    assert QUERIES["p6_statistics"](spark, SF).agg({"n": "sum"}).first()[0] == records

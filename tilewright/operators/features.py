@@ -1,16 +1,22 @@
 """One wide row per entity from events: counts, first and last times, totals.
 
-Events are bucketed by entity and sorted by type within it; each sorted run
-of one type is streamed into a counter, a total and the earliest and latest
-time, and the entity's row leaves the same task.  There is one shuffle.
-Entities above ``target_rows`` are split into time shards whose partial rows
-(at most 1,024 an entity) are then added up.
+Events are bucketed by ranges of (entity, type, time) and sorted within them
+(``plans.ranges``); each sorted run of one type is streamed into a counter, a
+total and the earliest and latest time, and the entity's row leaves the same
+task.  There is one shuffle.  An entity that goes on in the next range leaves
+a partial row there; only the first and last row of a range can be partial,
+and these are added up.
+
+The rows are written in a sparse form (the types an entity has, and their
+values) before they are read twice: once for the types that occur, which
+become columns, and once to be made wide, slice by slice.  ``feature_cells``
+gives the same as (entity, type) rows, for any number of types.
 
 Defined results.  Rows with a null entity column, type or time are not
-events.  Equal deliveries of one record (same entity and ``record`` columns)
-count once; without ``record`` every row counts.  Null values add 0 to
-totals.  Types the entity lacks have count 0 and null times and totals.  An
-empty table gives an empty table with the same columns.
+events.  Equal deliveries of one record (same entity, type, time and
+``record`` columns) count once; without ``record`` every row counts.  Null
+values add 0 to totals.  Types the entity lacks have count 0 and null times
+and totals.  An empty table gives an empty table with the same columns.
 """
 
 from __future__ import annotations
@@ -24,9 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.sharding import split_hot
+from ..plans.ranges import in_ranges
+from ..plans.storage import materialize
 
+#: Types that become columns; ``feature_cells`` has no such bound.
 MAX_TYPES = 4096
+#: Cells of a wide slice that are held at once.
+_CELLS = 1 << 21
 
 
 @dataclass
@@ -38,15 +48,59 @@ class FeatureTable:
     columns: dict[tuple, dict[str, str]] = field(default_factory=dict)
 
 
-def event_types(df: DataFrame, type_cols: list[str]) -> list[tuple]:
-    """The types that occur, sorted: one aggregate over the type columns alone.
+@dataclass
+class _Sparse:
+    """Rows (entity, n_events, first_time, last_time, lists over the entity's types, _edge) and their columns."""
 
-    Types become columns of the result, so more than ``MAX_TYPES`` is an error.
-    """
-    found = df.select(*type_cols).dropna().distinct().limit(MAX_TYPES + 1).collect()
-    if len(found) > MAX_TYPES:
-        raise ValueError(f"more than {MAX_TYPES} event types: too many for columns")
-    return sorted(tuple(int(x) for x in r) for r in found)
+    df: DataFrame
+    entity: list[str]
+    types: list[str]
+    parts: list[str]
+
+    @property
+    def lists(self) -> list[str]:
+        return [*self.types, *self.parts]
+
+
+def _sparse(df: DataFrame, entity: list[str], type_cols: list[str], time: str, totals: list[str], record: list[str]) -> _Sparse:
+    e, t, v, r = ([f"_{p}{i}" for i in range(len(c))] for p, c in (("e", entity), ("y", type_cols), ("v", totals), ("r", record)))
+    picked = [F.col(c).cast("long").alias(n) for c, n in zip([*entity, *type_cols, *record, *totals], [*e, *t, *r, *v])]
+    rows = df.select(*picked, F.col(time).cast("long").alias("_time")).dropna(subset=[*e, *t, "_time"])
+    parts = ["n", "first", "last", *[f"sum{i}" for i in range(len(totals))]]
+    heads = [*e, "n_events", "first_time", "last_time"]
+    schema = T.StructType(
+        [T.StructField(n, T.LongType()) for n in heads]
+        + [T.StructField(n, T.ArrayType(T.LongType())) for n in (*t, *parts)]
+        + [T.StructField("_edge", T.BooleanType())]
+    )
+    # totals take no part in the order: deliveries of one record are equal in them
+    ordered = in_ranges(rows.select(*e, *t, "_time", *r, *v), [*e, *t, "_time", *r])
+    fold = _Folder(len(e), len(t), len(r), len(v))
+    return _Sparse(materialize(ordered.mapInArrow(fold, schema), "features"), e, t, parts)
+
+
+def _cells(table: _Sparse) -> DataFrame:
+    """(entity, types, parts) rows of a sparse table, partial rows not yet added up."""
+    zipped = table.df.select(*table.entity, "_edge", F.explode(F.arrays_zip(*table.lists)).alias("c"))
+    return zipped.select(*table.entity, "_edge", *[F.col(f"c.{x}").alias(x) for x in table.lists])
+
+
+def _combined(part: str):
+    """The aggregate that adds up a part, by its name."""
+    if part.endswith("first") or part == "first_time":
+        return F.min(part)
+    return F.max(part) if part.endswith("last") or part == "last_time" else F.sum(part)
+
+
+def feature_cells(df: DataFrame, entity: list[str], type_cols: list[str], time: str, totals: list[str] = (), record: list[str] = ()) -> DataFrame:
+    """(entity, type, n, first, last, sum_<column>), a row per type an entity has; any number of types."""
+    table = _sparse(df, entity, type_cols, time, list(totals), list(record))
+    cells = _cells(table)
+    whole = cells.where(~F.col("_edge")).drop("_edge")
+    edges = cells.where("_edge").groupBy(*table.entity, *table.types).agg(*[_combined(p).alias(p) for p in table.parts])
+    names = {**dict(zip(table.entity, entity)), **dict(zip(table.types, type_cols)), **{f"sum{i}": f"sum_{c}" for i, c in enumerate(totals)}}
+    both = whole.unionByName(edges)
+    return both.select(*[F.col(c).cast(df.schema[names[c]].dataType).alias(names[c]) if c in (*table.entity, *table.types) else F.col(c).alias(names.get(c, c)) for c in both.columns])
 
 
 def feature_table(
@@ -58,159 +112,149 @@ def feature_table(
     record: list[str] = (),
     types: list[tuple] | None = None,
     parts: tuple[str, ...] = ("n", "first", "last", "sum"),
-    target_rows: int = 2_000_000,
 ) -> FeatureTable:
     """Wide rows (entity, n_events, first_time, last_time, then per type ``e<type>_n``,
     ``_first``, ``_last`` and ``_sum_<column>``).
 
     Entity, type, time and total columns are integers.  ``types`` fixes the
     columns; types outside it still count in the entity's own columns.
-    ``parts`` chooses which columns are made per type.
+    ``parts`` chooses which columns are made per type.  Without ``types`` those
+    that occur are taken; more than ``MAX_TYPES`` of them is an error.
     """
-    totals, record = list(totals) if "sum" in parts else [], list(record)
-    e, t, v, r = ([f"_{p}{i}" for i in range(len(c))] for p, c in (("e", entity), ("y", type_cols), ("v", totals), ("r", record)))
-    picked = [F.col(c).cast("long").alias(n) for c, n in zip([*entity, *type_cols, *totals, *record], [*e, *t, *v, *r])]
-    rows = df.select(*picked, F.col(time).cast("long").alias("_time")).dropna(subset=[*e, *t, "_time"])
+    totals = list(totals) if "sum" in parts else []
+    table = _sparse(df, entity, type_cols, time, totals, list(record))
     if types is None:
-        types = event_types(rows, t)
-    names: dict[tuple, dict[str, str]] = {}
-    per = [p for p in ("n", "first", "last") if p in parts] + [f"sum_{c}" for c in totals]
-    for y in types:
-        stem = "e" + "_".join(map(str, y))
-        names[y] = {p: f"{stem}_{p}" for p in per}
-    out_names = [*e, "n_events", "first_time", "last_time", *[names[y][p] for p in per for y in types]]
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in out_names])
-
-    def stream(part: DataFrame, by: list[str]) -> DataFrame:
-        ordered = part.select(*[F.col(b).cast("long").alias(b) for b in by], *t, "_time", *r, *v)
-        fold = _Streamer(len(e), len(by), len(t), len(r), types, per)
-        return ordered.repartition(*by).sortWithinPartitions(*by, *t, "_time", *r).mapInArrow(fold, schema)
-
-    split = split_hot(rows, e, "_time", target_rows, rows.select(*e, "_time"))
-    out = stream(split.cold, e)
-    if split.hot is not None:
-        partial = stream(split.hot, [*e, "shard"])
-
-        def merged(n: str):
-            if n.endswith("first") or n == "first_time":
-                return F.min(n)
-            return F.max(n) if n.endswith("last") or n == "last_time" else F.sum(n)
-
-        out = out.unionByName(partial.groupBy(*e).agg(*[merged(n).alias(n) for n in out_names[len(e) :]]))
-    final = out.select(*[F.col(x).cast(df.schema[c].dataType).alias(c) for x, c in zip(e, entity)], *out_names[len(e) :])
-    return FeatureTable(final, list(types), names)
-
-
-class _Streamer:
-    """Folds sorted runs into wide rows, batch by batch.
-
-    Of a batch, runs of equal (entity, type) are reduced with numpy and put
-    into the entity's row; the last entity of a batch stays open until the
-    next batch shows another one.  Each shard of a hot entity is an entity
-    here (``n_by`` columns tell them apart) and gives a partial row.
+        found = _cells(table).select(*table.types).distinct().limit(MAX_TYPES + 1).collect()
+        if len(found) > MAX_TYPES:
+            raise ValueError(f"more than {MAX_TYPES} event types: too many for columns, see feature_cells")
+        types = sorted(tuple(int(x) for x in r) for r in found)
+    kept = {p: p for p in ("n", "first", "last") if p in parts} | {f"sum{i}": f"sum_{c}" for i, c in enumerate(totals)}
+    names = {y: {out: f"e{'_'.join(map(str, y))}_{out}" for out in kept.values()} for y in types}
+    heads = [*table.entity, "n_events", "first_time", "last_time"]
+    columns = [*heads, *[names[y][out] for out in kept.values() for y in types]]
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in columns])
+
+    def wide(rows: DataFrame) -> DataFrame:
+        return rows.select(*heads, *table.types, *kept).mapInArrow(_Widener(len(heads), len(table.types), list(kept), types, columns), schema)
+
+    edges = wide(table.df.where("_edge")).groupBy(*table.entity).agg(*[_combined(c).alias(c) for c in columns[len(table.entity) :]])
+    out = wide(table.df.where(~F.col("_edge"))).unionByName(edges)
+    back = [F.col(x).cast(df.schema[c].dataType).alias(c) for x, c in zip(table.entity, entity)]
+    return FeatureTable(out.select(*back, *columns[len(entity) :]), list(types), names)
+
+
+def _starts(columns: list[np.ndarray], n: int) -> np.ndarray:
+    """Where a row begins another combination of the columns' values."""
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+class _Folder:
+    """Folds sorted rows into one row per entity, batch by batch.
+
+    Of a batch, runs of equal (entity, type) are reduced with numpy.  The runs of
+    the last entity, at most one per type, stay open until another one shows.
     """
 
-    def __init__(self, n_e: int, n_by: int, n_t: int, n_r: int, types: list[tuple], per: list[str]):
-        self.n_e, self.n_by, self.n_t, self.n_r, self.types, self.per = n_e, n_by, n_t, n_r, types, per
+    def __init__(self, n_e: int, n_t: int, n_r: int, n_v: int):
+        self.n_e, self.n_t, self.n_r, self.n_v = n_e, n_t, n_r, n_v
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = len(self.types)
-        place = {y: i for i, y in enumerate(self.types)}
-        open_row = None  # (entity, wide dict of one-row arrays)
-        last = None  # the last record's columns, to know a repeated delivery
+        held = None  # the batch made last: its first and last row may be partial
+        first = True
+        for rows in self._rows(batches):
+            if held is not None:
+                yield self._flagged(held, first, False)
+                first = False
+            held = rows
+        if held is not None:
+            yield self._flagged(held, first, True)
+
+    def _flagged(self, b: pa.RecordBatch, first: bool, last: bool) -> pa.RecordBatch:
+        edge = np.zeros(b.num_rows, bool)
+        edge[0] |= first
+        edge[-1] |= last
+        return b.append_column("_edge", pa.array(edge))
+
+    def _rows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = self.n_e + self.n_t
+        runs = None  # columns: keys, n, first, last, sums
+        last = None  # the last record, to know a repeated delivery
         for b in batches:
-            if b.num_rows == 0:
+            n = b.num_rows
+            if not n:
                 continue
-            cols = [c for c in b.columns]
-            ne, nt, nr = self.n_by, self.n_t, self.n_r
-            ident = [c.to_numpy(zero_copy_only=False) for c in cols[: ne + nt + 1]]
-            recs = [c.fill_null(-(2**63)).to_numpy(zero_copy_only=False) for c in cols[ne + nt + 1 : ne + nt + 1 + nr]]
-            vals = [c.fill_null(0).to_numpy(zero_copy_only=False) for c in cols[ne + nt + 1 + nr :]]
-            if nr:
-                every = [*ident, *recs]
-                new = np.zeros(b.num_rows, bool)
-                for x in every:
-                    new[1:] |= x[1:] != x[:-1]
-                new[0] = last is None or any(x[0] != y for x, y in zip(every, last))
+            keys = [c.to_numpy(zero_copy_only=False) for c in b.columns[: k + 1]]
+            records = [c.fill_null(-(2**63)).to_numpy(zero_copy_only=False) for c in b.columns[k + 1 : k + 1 + self.n_r]]
+            values = [c.fill_null(0).to_numpy(zero_copy_only=False) for c in b.columns[k + 1 + self.n_r :]]
+            if self.n_r:
+                every = [*keys, *records]
+                at = _starts(every, n)
+                if last is not None and all(x[0] == y for x, y in zip(every, last)):
+                    at = at[1:]
                 last = [x[-1] for x in every]
-                if not new.all():
-                    ident, vals = [x[new] for x in ident], [x[new] for x in vals]
-                if not len(ident[0]):
+                if len(at) < n:
+                    keys, values = [x[at] for x in keys], [x[at] for x in values]
+                if not len(at):
                     continue
-            ents, typs, time = ident[:ne], ident[ne : ne + nt], ident[-1]
-            n = len(time)
-            new_e = np.zeros(n, bool)
-            new_e[0] = True
-            for x in ents:
-                new_e[1:] |= x[1:] != x[:-1]
-            new_t = new_e.copy()
-            for x in typs:
-                new_t[1:] |= x[1:] != x[:-1]
-            at_t, at_e = np.flatnonzero(new_t), np.flatnonzero(new_e)
-            row_of = np.cumsum(new_e)[at_t] - 1
-            n_rows = len(at_e)
-            ends = np.append(at_t[1:], n)
-            wide = self._empty(n_rows, k)
-            # the entity's own columns, over all types
-            wide["n_events"] = np.diff(np.append(at_e, n))
-            wide["first_time"] = np.minimum.reduceat(time, at_e)
-            wide["last_time"] = np.maximum.reduceat(time, at_e)
-            keys = np.stack([x[at_t] for x in typs], 1)
-            uniq, inv = np.unique(keys, axis=0, return_inverse=True)
-            col = np.array([place.get(tuple(u.tolist()), -1) for u in uniq])[inv.reshape(-1)]
-            ok = col >= 0
-            ri, ci = row_of[ok], col[ok]
-            for p in self.per:
-                if p == "n":
-                    wide[p][ri, ci] = (ends - at_t)[ok]
-                elif p == "first":
-                    wide[p][ri, ci] = time[at_t][ok]
-                elif p == "last":
-                    wide[p][ri, ci] = time[ends - 1][ok]
-            sums = [p for p in self.per if p.startswith("sum_")]
-            for p, x in zip(sums, vals):
-                wide[p][ri, ci] = np.add.reduceat(x, at_t)[ok]
-            wide["has"][ri, ci] = True
-            entity = [x[at_e] for x in ents]
-            if open_row is not None:
-                if all(x[0] == y for x, y in zip(entity, open_row[0])):
-                    self._merge(wide, open_row[1])
-                else:
-                    yield self._out([np.array([y]) for y in open_row[0]], open_row[1])
-            if n_rows > 1:
-                yield self._out([x[:-1] for x in entity], {c: x[:-1] for c, x in wide.items()})
-            open_row = ([x[-1] for x in entity], {c: x[-1:].copy() for c, x in wide.items()})
-        if open_row is not None:
-            yield self._out([np.array([y]) for y in open_row[0]], open_row[1])
-
-    def _empty(self, n: int, k: int) -> dict[str, np.ndarray]:
-        out = {p: np.zeros((n, k), np.int64) for p in self.per}
-        out["has"] = np.zeros((n, k), bool)
-        return out
-
-    def _merge(self, wide: dict, old: dict) -> None:
-        """Add the open row of earlier batches to the first row of this one."""
-        a, b = wide["has"][0].copy(), old["has"][0]
-        for p in self.per:
-            x, y = wide[p][0], old[p][0]
-            if p == "first":
-                x[:] = np.where(a & b, np.minimum(x, y), np.where(b, y, x))
-            elif p == "last":
-                x[:] = np.where(a & b, np.maximum(x, y), np.where(b, y, x))
-            else:
-                x += y
-        wide["has"][0] |= b
-        wide["n_events"][0] += old["n_events"][0]
-        wide["first_time"][0] = min(wide["first_time"][0], old["first_time"][0])
-        wide["last_time"][0] = max(wide["last_time"][0], old["last_time"][0])
-
-    def _out(self, entity: list[np.ndarray], wide: dict) -> pa.RecordBatch:
-        arrays = [pa.array(x) for x in entity[: self.n_e]]
-        arrays += [pa.array(wide[c]) for c in ("n_events", "first_time", "last_time")]
-        none = ~wide["has"]
-        for p in self.per:
-            for i in range(len(self.types)):
-                arrays.append(pa.array(wide[p][:, i], mask=None if p == "n" else none[:, i]))
-        names = [f"_e{i}" for i in range(self.n_e)] + ["n_events", "first_time", "last_time"]
-        names += [f"e{'_'.join(map(str, y))}_{p}" for p in self.per for y in self.types]
-        return pa.RecordBatch.from_arrays(arrays, names)
+            time = keys.pop()
+            made = self._reduced([*keys, np.ones(len(time), np.int64), time, time, *values])
+            runs = made if runs is None else self._reduced([np.concatenate([x, y]) for x, y in zip(runs, made)])
+            ents = _starts(runs[: self.n_e], len(runs[0]))
+            if len(ents) > 1:
+                cut = ents[-1]
+                yield self._made([x[:cut] for x in runs], ents[:-1])
+                runs = [x[cut:] for x in runs]
+        if runs is not None:
+            yield self._made(runs, np.array([0]))
+
+    def _reduced(self, cols: list[np.ndarray]) -> list[np.ndarray]:
+        k = self.n_e + self.n_t
+        at = _starts(cols[:k], len(cols[0]))
+        if len(at) == len(cols[0]):
+            return cols
+        n, first, last, *sums = cols[k:]
+        return [*[x[at] for x in cols[:k]], np.add.reduceat(n, at), np.minimum.reduceat(first, at), np.maximum.reduceat(last, at), *[np.add.reduceat(x, at) for x in sums]]
+
+    def _made(self, runs: list[np.ndarray], ents: np.ndarray) -> pa.RecordBatch:
+        k, e = self.n_e + self.n_t, self.n_e
+        offsets = pa.array(np.append(ents, len(runs[0])).astype(np.int32))
+        own = [np.add.reduceat(runs[k], ents), np.minimum.reduceat(runs[k + 1], ents), np.maximum.reduceat(runs[k + 2], ents)]
+        arrays = [pa.array(x) for x in [*[x[ents] for x in runs[:e]], *own]]
+        arrays += [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in runs[e:]]
+        names = [*[f"_e{i}" for i in range(e)], "n_events", "first_time", "last_time", *[f"_y{i}" for i in range(self.n_t)], "n", "first", "last"]
+        return pa.RecordBatch.from_arrays(arrays, [*names, *[f"sum{i}" for i in range(self.n_v)]])
+
+
+class _Widener:
+    """Spreads an entity's lists over the columns of all types, in slices of bounded size."""
+
+    def __init__(self, n_heads: int, n_t: int, parts: list[str], types: list[tuple], columns: list[str]):
+        self.n_heads, self.n_t, self.parts, self.types, self.columns = n_heads, n_t, parts, types, columns
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {y: i for i, y in enumerate(self.types)}
+        width = max(1, len(self.types))
+        step = max(1, _CELLS // (width * max(1, len(self.parts))))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, step):
+                b = whole.slice(lo, step)
+                n, lists = b.num_rows, b.columns[self.n_heads :]
+                row = np.repeat(np.arange(n), np.diff(lists[0].offsets.to_numpy()))
+                keys = np.stack([x.flatten().to_numpy() for x in lists[: self.n_t]], 1)
+                distinct, inverse = np.unique(keys, axis=0, return_inverse=True)
+                col = np.array([place.get(tuple(u), -1) for u in distinct.tolist()], np.int64)[inverse.reshape(-1)]
+                ok = col >= 0
+                at = row[ok], col[ok]
+                has = np.zeros((n, width), bool)
+                has[at] = True
+                arrays = list(b.columns[: self.n_heads])
+                for part, values in zip(self.parts, lists[self.n_t :]):
+                    cells = np.zeros((n, width), np.int64)
+                    cells[at] = values.flatten().to_numpy()[ok]
+                    for i in range(len(self.types)):
+                        arrays.append(pa.array(cells[:, i], mask=None if part == "n" else ~has[:, i]))
+                yield pa.RecordBatch.from_arrays(arrays, self.columns)

@@ -55,6 +55,12 @@ def p4_features(spark: SparkSession, sf: str) -> DataFrame:
     return features.feature_table(rows, ["file_id", "kid"], ["evtno", "kind"], "date", totals=["d2"], record=["rpos"]).df
 
 
+def p4_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The same table as a row per (file_id, kid) and type."""
+    rows = trace.valid_records(read_table(spark, sf, "kaapi_event"), "file_id", "kid", "evtno", "kind", "date", "rpos", "d2")
+    return features.feature_cells(rows, ["file_id", "kid"], ["evtno", "kind"], "date", totals=["d2"], record=["rpos"])
+
+
 SQL_VALID = """valid AS (SELECT DISTINCT file_id, rpos, evtno, kind, kid, date, d0, d1, d2, d3
  FROM kaapi_event WHERE kid IS NOT NULL AND date > 0)"""
 
@@ -64,24 +70,20 @@ SQL_P4 = f"""WITH {SQL_VALID},
 SELECT one.file_id, one.kid, one.evtno FROM one JOIN seq ON one.file_id = seq.file_id AND one.kid = seq.kid
 WHERE n >= {P4_MIN} AND 2 * (z - a) < b - a"""
 
-# -- problem 5: busy periods and gaps
-
+SQL_P4_CELLS = f"""WITH {SQL_VALID} SELECT file_id, kid, evtno, kind, count(*) AS n, min(date) AS first, max(date) AS last,
+ CAST(sum(coalesce(d2, 0)) AS BIGINT) AS sum_d2 FROM valid GROUP BY 1, 2, 3, 4"""
 
-def _intervals(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    events = read_table(spark, sf, "kaapi_event")
-    return trace.intervals(events), trace.valid_records(events, "file_id", "kid", "date")
+# -- problem 5: busy periods and gaps
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Gaps between successive busy periods of each (file_id, kid)."""
-    found, sizes = _intervals(spark, sf)
-    return intervals.gaps(found, ["file_id", "kid"], sizes=sizes)
+    return intervals.gaps(trace.intervals(read_table(spark, sf, "kaapi_event")), ["file_id", "kid"])
 
 
 def p5_periods(spark: SparkSession, sf: str) -> DataFrame:
     """Busy periods of each (file_id, kid) and how many intervals each holds."""
-    found, sizes = _intervals(spark, sf)
-    return intervals.busy_periods(found, ["file_id", "kid"], sizes=sizes)
+    return intervals.busy_periods(trace.intervals(read_table(spark, sf, "kaapi_event")), ["file_id", "kid"])
 
 
 SQL_INTERVALS = f"""{SQL_VALID},
@@ -119,12 +121,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    """Deliveries, distinct kids, modal kid and percentiles of kid per (evtno, fmtid); repeated deliveries count."""
-    return skew.key_statistics(_keyed(spark, sf, "kid"), ["evtno", "fmtid"], "kid", (0.5, 0.9))
-
-
-def p6_record_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    """The same of valid records, each (file_id, rpos) counted once."""
+    """Valid records, distinct kids, modal kid and percentiles of kid per (evtno, fmtid)."""
     records = _keyed(spark, sf, "file_id", "rpos", "kid").dropDuplicates(["file_id", "rpos"])
     return skew.key_statistics(records, ["evtno", "fmtid"], "kid", (0.5, 0.9))
 
@@ -133,33 +130,29 @@ _SQL_FMTID = "CASE WHEN evtno = 2 THEN d1 WHEN evtno = 8 AND kind = 0 THEN coale
 SQL_P6 = f"""WITH {SQL_VALID}, k AS (SELECT evtno, {_SQL_FMTID} AS fmtid FROM valid)
 SELECT evtno, fmtid FROM k WHERE fmtid IS NOT NULL GROUP BY evtno, fmtid
 HAVING count(*) * {P6_SHARE} >= (SELECT count(*) FROM k)"""
-SQL_P6_STATISTICS = f"""WITH k AS (SELECT evtno, {_SQL_FMTID} AS fmtid, kid FROM kaapi_event WHERE kid IS NOT NULL AND date > 0),
+SQL_P6_STATISTICS = f"""WITH {SQL_VALID}, k AS (SELECT evtno, {_SQL_FMTID} AS fmtid, kid FROM valid),
  f AS (SELECT evtno, fmtid, kid, count(*) AS c FROM k GROUP BY 1, 2, 3),
  m AS (SELECT *, row_number() OVER (PARTITION BY evtno, fmtid ORDER BY c DESC, kid) AS r FROM f)
 SELECT k.evtno, k.fmtid, count(*) AS n, count(DISTINCT k.kid) AS n_distinct, max(m.kid) AS mode, max(m.c) AS mode_n,
  quantile_disc(k.kid, 0.5) AS p50, quantile_disc(k.kid, 0.9) AS p90
 FROM k JOIN m ON k.evtno = m.evtno AND k.fmtid IS NOT DISTINCT FROM m.fmtid AND m.r = 1 GROUP BY k.evtno, k.fmtid"""
 
-SQL_P6_RECORD_STATISTICS = f"WITH {SQL_VALID}, " + SQL_P6_STATISTICS.removeprefix("WITH ").replace(
-    "kaapi_event WHERE kid IS NOT NULL AND date > 0", "valid"
-)
-
 QUERIES = {
     "p2_found": p2_found,
     "p2_table": p2_table,
     "p4_found": p4_found,
     "p4_features": p4_features,
+    "p4_cells": p4_cells,
     "p5_found": p5_found,
     "p5_periods": p5_periods,
     "p6_found": p6_found,
     "p6_statistics": p6_statistics,
-    "p6_record_statistics": p6_record_statistics,
 }
 SQL = {
     "p4_found": SQL_P4,
+    "p4_cells": SQL_P4_CELLS,
     "p5_found": SQL_P5_GAPS,
     "p5_periods": SQL_P5_PERIODS,
     "p6_found": SQL_P6,
     "p6_statistics": SQL_P6_STATISTICS,
-    "p6_record_statistics": SQL_P6_RECORD_STATISTICS,
 }

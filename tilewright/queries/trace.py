@@ -71,7 +71,8 @@ def trace_costs(spark: SparkSession, sf: str) -> DataFrame:
 def trace_csv(spark: SparkSession, sf: str) -> DataFrame:
     """Tasks as the CSV file holds them, times read back from their text."""
     made = tt.csv_table("task", trace_task(spark, sf))
-    return made.withColumns({c: F.col(c).cast("double") for c in ("Push", "Start", "End", "Duration")})
+    read = {c: F.col(c).cast("double") for c in ("Push", "Start", "End")}
+    return made.withColumns(read | {"Duration": F.round(F.col("Duration").cast("double"), 12)})
 
 
 def trace_counters(spark: SparkSession, sf: str) -> DataFrame:
@@ -150,7 +151,7 @@ SQL_COSTS = f"""WITH costs AS (SELECT name AS cn, max(2 * {_O} * {_O} * {_O}) AS
 SELECT resource, name, count(*) AS n, CAST(sum(CAST(round(duration * 1e9) AS BIGINT)) AS BIGINT) AS time_ns, sum(coalesce(f, 0.0)) AS flops,
  round(sum(coalesce(f / b, 0.0)), 6) AS ai, round(avg(coalesce(f / b, 0.0)), 6) AS mean_ai
 FROM ({SQL_TASK}) LEFT JOIN costs ON name = cn GROUP BY GROUPING SETS ((resource, name), (resource), (name), ())"""
-SQL_CSV = f"""SELECT resource AS "Resource", type AS "Type", push AS "Push", start AS "Start", "end" AS "End", duration AS "Duration", name AS "Name", task_id AS "TaskId" FROM ({SQL_TASK})"""
+SQL_CSV = f"""SELECT resource AS "Resource", type AS "Type", push AS "Push", start AS "Start", "end" AS "End", round(duration, 12) AS "Duration", name AS "Name", task_id AS "TaskId" FROM ({SQL_TASK})"""
 _COUNTERS = " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(tt.COUNTER_NAMES) if n)
 SQL_COUNTERS = f"""WITH {_valid(10)} SELECT kid, d0 AS counter, CASE d0 {_COUNTERS} END AS name, count(*) AS n, arg_max(d1, (date, file_id, rpos)) AS last FROM v WHERE d0 IS NOT NULL GROUP BY 1, 2, 3"""
 
