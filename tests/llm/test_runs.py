@@ -40,13 +40,21 @@ def make_rows(seed, n, symbols=2):
     return rows + rows[::5]
 
 
-@pytest.mark.parametrize("target", [10**9, 200])
+@pytest.fixture(params=["1", "4", "31"])
+def ranges(spark, request):
+    """The same results from any number of ranges."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", request.param)
+    yield int(request.param)
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 @pytest.mark.parametrize("gap", [5, None])
-def test_against_brute_force(spark, gap, target):
+def test_against_brute_force(spark, gap, ranges):
     rows = make_rows(7, 900)
     everything = brute(rows, gap)
-    assert got(spark, rows, gap, target_rows=target) == everything
-    assert got(spark, rows, gap, target_rows=target, min_run=3) == [x for x in everything if x[8] >= 3]
+    assert got(spark, rows, gap) == everything
+    assert got(spark, rows, gap, min_run=3) == [x for x in everything if x[8] >= 3]
 
 
 @pytest.mark.parametrize("size", ["1", "3", "50"])
@@ -54,16 +62,23 @@ def test_runs_across_batches(spark, size):
     rows = make_rows(8, 300, 1) + [(5, 5, 3, 1, 10 + i, i, None) for i in range(200)]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     try:
-        for target in (10**9, 100):
-            assert got(spark, rows, 5, target_rows=target) == brute(rows, 5)
-            assert got(spark, rows, 5, target_rows=target, min_run=3) == [x for x in brute(rows, 5) if x[8] >= 3]
+        assert got(spark, rows, 5) == brute(rows, 5)
+        assert got(spark, rows, 5, min_run=3) == [x for x in brute(rows, 5) if x[8] >= 3]
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_one_run_over_all_shards(spark):
+def test_one_run_over_all_ranges(spark, ranges):
     rows = [(1, 1, 4, 2, 1000 + 10 * i, i, None) for i in range(2500)]
-    assert got(spark, rows, 10, target_rows=100) == [(1, 1, 4, 2, 0, 2499, 1000, 25990, 2500, 24990)]
+    assert got(spark, rows, 10) == [(1, 1, 4, 2, 0, 2499, 1000, 25990, 2500, 24990)]
+
+
+def test_more_symbols_than_code_points(spark, monkeypatch):
+    from tilewright.llm import runs
+
+    monkeypatch.setattr(runs, "MAX_SYMBOLS", 3)
+    rows = [(1, 1, i // 4, 0, i, i, None) for i in range(100)]
+    assert got(spark, rows, 5) == brute(rows, 5)
 
 
 def test_nulls_ties_empty_and_names(spark):

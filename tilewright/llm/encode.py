@@ -239,7 +239,10 @@ def decode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             table = _token_bytes(path)
-            texts = [None if row is None else b"".join([table[i] for i in row]).decode("utf-8", "replace") for row in b.column(len(keep)).to_pylist()]
+            lists = b.column(len(keep))
+            if (pc.min(lists.flatten()).as_py() or 0) < 0:
+                raise IndexError("a token id is not negative")
+            texts = [None if row is None else b"".join([table[i] for i in row]).decode("utf-8", "replace") for row in lists.to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], [*keep, text])
 
     return df.select(*keep, ids).mapInArrow(run, T.StructType([*_kept(df, keep), T.StructField(text, T.StringType())]))

@@ -8,10 +8,11 @@ copy is emitted for each integer boundary a document crosses.  A source thus
 gets its expected number of documents to within one, and no document more
 than ``ceil`` of its expectation.
 
-The prefix sums are two-level: documents are range-partitioned by source
-and id, sums per (source, range) are added up over at most
-sources + ranges rows, and each range continues from its own start, so a
-source that holds most documents lies over many tasks.
+The prefix sums are two-level: documents of the wanted sources are partitioned
+by ranges of source and id, numbered within their range, and written; counts
+per (source, range) are added up over at most sources + ranges rows, and each
+range continues from its own start, so a source that holds most documents lies
+over many tasks and there is one shuffle.
 
 Defined results.  Sources are compared without case and without blanks
 around.  Documents without a target's source, or with a null one, are not
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.ranges import in_ranges
 from ..plans.storage import materialize
 
 
@@ -60,46 +62,56 @@ def source_plan(sized: DataFrame, targets: DataFrame, size: str = "n_tokens") ->
     return plan.select("source", "target_share", "max_repeats", "n_docs", "size", "total", copies.alias("copies"), (wanted > room).alias("short"))
 
 
+def offset_of(source: Column, seed: int) -> Column:
+    """One offset per source in [0, 1), from the seed and the name alone: 40 bits of a digest."""
+    digest = F.substring(F.md5(F.concat(source, F.lit(f"#{seed}"))), 1, 10)
+    return F.conv(digest, 16, 10).cast("double") / (1 << 40)
+
+
 def mix(
     sized: DataFrame,
     targets: DataFrame,
     doc_id: str = "doc_id",
     size: str = "n_tokens",
     seed: int = 0,
+    plan: DataFrame | None = None,
 ) -> DataFrame:
     """(doc_id, source, size, copies): the documents of the mix, each with how often it occurs."""
-    plan = source_plan(sized, targets, size).select(source_key(F.col("source")).alias("_s"), "copies")
-    # one offset per source in [0, 1), from the seed and the name alone
-    offset = F.pmod(F.xxhash64(F.col("_s"), F.lit(seed)), F.lit(1 << 40)).cast("double") / (1 << 40)
+    plan = source_plan(sized, targets, size) if plan is None else plan
+    plan = plan.select(source_key(F.col("source")).alias("_t"), "copies").where(F.col("copies") > 0)
     docs = sized.select(F.col(doc_id).alias("_d"), source_key(F.col("source")).alias("_s"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("_n"))
-    docs = docs.where(F.col("_s").isNotNull())
-    ranged = materialize(docs.repartitionByRange("_s", "_d", "_n").withColumn("_pid", F.spark_partition_id()), "ranged")
-    sums = ranged.groupBy("_s", "_pid").agg(F.count(F.lit(1)).alias("_c"))
-    before = W.partitionBy("_s").orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
-    starts = sums.select(F.col("_s").alias("_s2"), F.col("_pid").alias("_pid2"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
-    # at most sources + ranges rows
-    placed = ranged.join(F.broadcast(starts), (F.col("_s") == F.col("_s2")) & (F.col("_pid") == F.col("_pid2"))).drop("_s2", "_pid2")
-    within = W.partitionBy("_s", "_pid").orderBy("_d", "_n")
-    placed = placed.withColumn("_k", F.col("_start") + F.row_number().over(within))
-    plan = plan.where(F.col("copies") > 0).select(F.col("_s").alias("_s3"), "copies", offset.alias("_u"))
-    crossed = F.floor(F.col("_k") * F.col("copies") + F.col("_u")) - F.floor((F.col("_k") - 1) * F.col("copies") + F.col("_u"))
-    return (
-        placed.join(F.broadcast(plan), F.col("_s") == F.col("_s3"))  # a row per target
-        .select(F.col("_d").alias(doc_id), F.col("_s").alias("source"), F.col("_n").alias(size), crossed.cast("int").alias("copies"))
-        .where(F.col("copies") > 0)
-    )
+    # only documents of a target are moved; Spark broadcasts the plan if it is small
+    docs = docs.join(plan.select("_t"), F.col("_s") == F.col("_t"), "left_semi")
+    # consecutive numbers within a range: the lower 33 bits, above them the range
+    numbered = in_ranges(docs, ["_s", "_d", "_n"]).withColumn("_id", F.monotonically_increasing_id())
+    ranged = materialize(numbered, "ranged").withColumn("_range", F.shiftright("_id", 33))
+    sums = ranged.groupBy("_s", "_range").agg(F.count(F.lit(1)).alias("_c"), F.min("_id").alias("_first"))
+    before = W.partitionBy("_s").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = sums.select(F.col("_s").alias("_s2"), F.col("_range").alias("_range2"), (F.coalesce(F.sum("_c").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    starts = starts.join(plan, F.col("_s2") == F.col("_t")).withColumn("_u", offset_of(F.col("_s2"), seed)).drop("_t")
+    # at most targets + ranges rows
+    placed = ranged.join(F.broadcast(starts), (F.col("_s") == F.col("_s2")) & (F.col("_range") == F.col("_range2")))
+    k = F.col("_id") + F.col("_shift") + 1  # place among the source's documents, from 1
+    crossed = F.floor(k * F.col("copies") + F.col("_u")) - F.floor((k - 1) * F.col("copies") + F.col("_u"))
+    return placed.select(F.col("_d").alias(doc_id), F.col("_s").alias("source"), F.col("_n").alias(size), crossed.cast("int").alias("copies")).where(F.col("copies") > 0)
 
 
 def actual_shares(mixed: DataFrame, plan: DataFrame, size: str = "n_tokens") -> DataFrame:
-    """(source, target_share, max_repeats, short, docs, copies, tokens, actual_share) of a mix."""
+    """(source, target_share, max_repeats, short, docs, copies, tokens, actual_share) of a mix.
+
+    ``short`` is read off the mix: every document of the source came out
+    ``max_repeats`` times (or there was nothing to come out), and still its
+    tokens miss the share of the total.
+    """
     got = mixed.groupBy(F.col("source").alias("_g")).agg(
-        F.count(F.lit(1)).alias("docs"), F.sum("copies").alias("copies"), F.sum(F.col(size) * F.col("copies")).alias("tokens")
+        F.count(F.lit(1)).alias("docs"), F.sum("copies").alias("_copies"), F.sum(F.col(size) * F.col("copies")).alias("tokens")
     )
-    joined = plan.drop("copies").join(got, source_key(F.col("source")) == F.col("_g"), "left")
-    tokens = F.coalesce(F.col("tokens"), F.lit(0))
+    joined = plan.drop("copies", "short").join(got, source_key(F.col("source")) == F.col("_g"), "left")
+    tokens, copies = F.coalesce(F.col("tokens"), F.lit(0)), F.coalesce(F.col("_copies"), F.lit(0))
     everything = F.sum(tokens).over(W.partitionBy())  # a row per target
+    used_up = (copies == F.col("max_repeats") * F.col("n_docs")) | (F.col("size") == 0)
     return joined.select(
-        "source", "target_share", "max_repeats", "short",
-        F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("copies", F.lit(0)).alias("copies"), tokens.alias("tokens"),
+        "source", "target_share", "max_repeats", (used_up & (F.col("target_share") * F.col("total") > tokens)).alias("short"),
+        F.coalesce("docs", F.lit(0)).alias("docs"), copies.alias("copies"), tokens.alias("tokens"),
         (tokens / F.nullif(everything, F.lit(0))).alias("actual_share"),
     )

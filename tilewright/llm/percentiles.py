@@ -67,7 +67,7 @@ def _attach(data: DataFrame, state: DataFrame, by: list[str], n_state: int) -> D
     if n_state <= BROADCAST_STATE:
         joined = data.join(F.broadcast(state), on)
     else:
-        data = data.withColumn("_salt", F.pmod(F.xxhash64("_x"), F.lit(SALT)).cast("int"))
+        data = data.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALT)).cast("int"))
         state = state.withColumn("_saltS", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
         on = data["_salt"] == state["_saltS"]
         for b in by:
@@ -99,8 +99,9 @@ def percentiles(
             wanted += [F.struct(F.lit(2 * i + k).alias("_t"), f(place(p)).cast("long").alias("_rank")) for k, f in enumerate((F.floor, F.ceil))]
         else:
             wanted.append(F.struct(F.lit(2 * i).alias("_t"), (F.greatest(F.ceil(F.lit(p) * F.col("_n")), F.lit(1)) - 1).cast("long").alias("_rank")))
-    state = sizes.select(*by, "_n", "_lo", "_hi", F.lit(0).cast("long").alias("_below"), F.explode(F.array(*wanted)).alias("_w"))
-    state = materialize(state.select(*by, "_n", "_lo", "_hi", "_below", "_w._t", "_w._rank"), "state")
+    # a row per interval with the ranks that lie in it: at first one interval per group
+    state = sizes.select(*by, "_n", "_lo", "_hi", F.lit(0).cast("long").alias("_below"), F.array(*wanted).alias("_want"))
+    state = materialize(state, "state")
     width = F.col("_hi").cast("double") - F.col("_lo").cast("double")
     is_open = (F.col("_lo") < F.col("_hi")) & ~(F.coalesce(width <= rel_error * F.abs(F.col("_lo").cast("double")), F.lit(False)) & F.lit(rel_error > 0))
     done: DataFrame | None = None
@@ -116,18 +117,21 @@ def percentiles(
             data = materialize(_attach(data, spans, by, n_open).select(*by, "_x"), "inside")
         counts = (
             _attach(data, state, by, n_open)
-            .groupBy(*by, "_n", "_t", "_rank", "_below", _part(F.col("_x"), F.col("_lo"), F.col("_hi"), integers).alias("_part"))
+            .groupBy(*by, "_n", "_below", "_want", _part(F.col("_x"), F.col("_lo"), F.col("_hi"), integers).alias("_part"))
             .agg(F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
         )
-        upto = F.sum("_c").over(W.partitionBy(*by, "_t").orderBy("_part").rowsBetween(W.unboundedPreceding, 0))
+        upto = F.sum("_c").over(W.partitionBy(*by, "_below").orderBy("_part").rowsBetween(W.unboundedPreceding, 0))
+        inside = F.filter("_want", lambda w: (F.col("_upto") - F.col("_c") <= w["_rank"]) & (w["_rank"] < F.col("_upto")))
         state = materialize(
             counts.withColumn("_upto", F.col("_below") + upto)
-            .where((F.col("_upto") - F.col("_c") <= F.col("_rank")) & (F.col("_rank") < F.col("_upto")))
-            .select(*by, "_n", "_lo", "_hi", (F.col("_upto") - F.col("_c")).alias("_below"), "_t", "_rank"),
+            .withColumn("_want", inside)
+            .where(F.size("_want") > 0)
+            .select(*by, "_n", "_lo", "_hi", (F.col("_upto") - F.col("_c")).alias("_below"), "_want"),
             "state",
         )
     else:
         raise RuntimeError("the bisection did not end")
+    done = done.select(*by, "_n", "_lo", F.explode("_want").alias("_w")).select(*by, "_n", "_lo", "_w._t")
     at = lambda t: F.max(F.when(F.col("_t") == t, F.col("_lo").cast("double")))
     cells = done.groupBy(*by).agg(F.max("_n").alias("n"), *[at(t).alias(f"_v{t}") for i in range(len(probs)) for t in (2 * i, 2 * i + 1)[: 1 + interpolate]])
     out = []
@@ -142,7 +146,8 @@ def percentiles(
 
 def grid_cell(x: Column, bits: int) -> Column:
     """Lower end (towards 0) of the dyadic cell of a long: all but its leading ``bits`` + 1 bits cleared."""
-    size = F.abs(x)
+    # the least long has no positive counterpart; it shares the cell of the next one
+    size = F.abs(F.greatest(x, F.lit(-(2**63) + 1)))
     shift = F.greatest(F.length(F.bin(size)) - (bits + 1), F.lit(0))
     low = F.call_function("shiftleft", F.call_function("shiftright", size, shift), shift)
     return F.when(x < 0, -low).otherwise(low)

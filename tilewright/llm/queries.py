@@ -101,10 +101,14 @@ def _sized(spark: SparkSession, sf: str) -> DataFrame:
     return encode.count_tokens(read_table(spark, sf, "documents"), ["doc_id", "source"])
 
 
+def _shares(sized: DataFrame, targets: DataFrame, size: str = "n_tokens") -> DataFrame:
+    plan = materialize(mixing.source_plan(sized, targets, size), "plan")
+    return mixing.actual_shares(mixing.mix(sized, targets, size=size, plan=plan), plan, size)
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Sources that miss their share even when repeated as often as allowed."""
-    plan = mixing.source_plan(_sized(spark, sf), read_table(spark, sf, "mix_target"))
-    return plan.where(F.col("short")).select("source")
+    """Sources that miss their share in the mix even when repeated as often as allowed."""
+    return p8_shares(spark, sf).where(F.col("short")).select("source")
 
 
 def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
@@ -115,9 +119,34 @@ def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
 
 def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     """Target and actual share of each source in the mix."""
-    sized, targets = materialize(_sized(spark, sf), "sized"), read_table(spark, sf, "mix_target")
-    return mixing.actual_shares(mixing.mix(sized, targets), mixing.source_plan(sized, targets))
+    return _shares(materialize(_sized(spark, sf), "sized"), read_table(spark, sf, "mix_target"))
+
+
+def _by_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    return read_table(spark, sf, "documents").select("doc_id", "source", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+
+
+def p8_mix_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    """The mix with documents sized in bytes, which SQL can count."""
+    return mixing.mix(_by_bytes(spark, sf), read_table(spark, sf, "mix_target"), size="n_bytes")
+
+
+def p8_shares_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    """The shares of that mix."""
+    return _shares(_by_bytes(spark, sf), read_table(spark, sf, "mix_target"), "n_bytes")
+
 
+_SQL_MIX = r"""WITH k AS (SELECT doc_id, lower(regexp_replace(source, '^\s+|\s+$', '', 'g')) AS s, coalesce(strlen(text), 0) AS n FROM documents),
+ have AS (SELECT s, count(*) AS docs, sum(n) AS size FROM k GROUP BY s), total AS (SELECT CAST(sum(n) AS BIGINT) AS total FROM k),
+ p AS (SELECT source, lower(regexp_replace(source, '^\s+|\s+$', '', 'g')) AS t, target_share, max_repeats, coalesce(docs, 0) AS docs, coalesce(size, 0) AS size, total,
+  CASE WHEN size > 0 THEN least(target_share * total / CAST(size AS DOUBLE), CAST(max_repeats AS DOUBLE)) ELSE 0.0 END AS copies
+  FROM mix_target LEFT JOIN have ON lower(regexp_replace(source, '^\s+|\s+$', '', 'g')) = s, total),
+ r AS (SELECT k.*, copies, row_number() OVER (PARTITION BY s ORDER BY doc_id, n) AS place, CAST(('0x' || md5(s || '#0')[1:10]) AS BIGINT) / 1099511627776.0::DOUBLE AS u FROM k JOIN p ON s = t),
+ m AS (SELECT doc_id, s AS source, CAST(n AS BIGINT) AS n_bytes, CAST(floor(place * copies + u) - floor((place - 1) * copies + u) AS INT) AS copies FROM r)"""
+SQL_P8_MIX_BYTES = f"{_SQL_MIX} SELECT * FROM m WHERE copies > 0"
+SQL_P8_SHARES_BYTES = f"""{_SQL_MIX}, g AS (SELECT source AS g, count(*) AS docs, CAST(sum(copies) AS BIGINT) AS copies, CAST(sum(n_bytes * copies) AS BIGINT) AS tokens FROM m WHERE copies > 0 GROUP BY 1)
+SELECT source, target_share, max_repeats, target_share * total > CAST(max_repeats AS DOUBLE) * size AS short, coalesce(g.docs, 0) AS docs, coalesce(g.copies, 0) AS copies,
+ coalesce(tokens, 0) AS tokens, coalesce(tokens, 0) / CAST(sum(coalesce(tokens, 0)) OVER () AS DOUBLE) AS actual_share FROM p LEFT JOIN g ON t = g"""
 
 # -- problem 9: subject area of each document
 
@@ -145,6 +174,8 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p8_mix_bytes": p8_mix_bytes,
+    "p8_shares_bytes": p8_shares_bytes,
     "p9_found": p9_found,
     "p9_composition": p9_composition,
 }
@@ -155,4 +186,6 @@ SQL = {
     "p3_percentiles": SQL_P3_PERCENTILES,
     "p3_combined": SQL_P3_COMBINED,
     "p7_decoded": SQL_P7_DECODED,
+    "p8_mix_bytes": SQL_P8_MIX_BYTES,
+    "p8_shares_bytes": SQL_P8_SHARES_BYTES,
 }

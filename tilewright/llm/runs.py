@@ -7,9 +7,10 @@ every stretch of one repeated symbol; the spans are mapped back to places
 and times.  A change of entity or a step of more than ``max_gap`` in time
 flips a plane bit of the code point, so no match can run across it.
 
-Sequences above ``target_rows`` are cut into time shards; only the first and
-the last run of a shard can go on in a neighbour, and these (at most 2,048
-an entity) are stitched afterwards.
+Sequences are cut by ranges of (entity, time, record) (``plans.ranges``), so
+one of any size lies over as many tasks as it needs.  Only the first and the
+last run of a range can go on in a neighbour; these, two a range, are stitched
+afterwards.
 
 Defined results.  Rows with a null in an entity, symbol, time or record
 column are no events.  Equal deliveries of one record (same entity, time and
@@ -30,11 +31,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.sharding import split_hot
+from ..plans.ranges import in_ranges, range_number
 from ..plans.storage import materialize
 
 _PLANE = 0x80000  # the bit that flips; symbols stay below it and outside the surrogates
 _BASE = 0xE000
+#: Symbols are numbered batch by batch; batches of more rows are cut, so any number of symbols can occur.
 MAX_SYMBOLS = _PLANE - _BASE
 
 
@@ -46,7 +48,6 @@ def collapse_runs(
     record: str,
     max_gap: int | None = None,
     min_run: int = 1,
-    target_rows: int = 2_000_000,
 ) -> DataFrame:
     """(entity, symbol, first_<record>, last_<record>, first_time, last_time, n, duration) per run.
 
@@ -55,49 +56,36 @@ def collapse_runs(
     """
     e, y = [f"_e{i}" for i in range(len(entity))], [f"_y{i}" for i in range(len(symbol))]
     cols = [F.col(c).cast("long").alias(n) for c, n in zip([*entity, *symbol, time, record], [*e, *y, "_time", "_rec"])]
-    rows = df.select(*cols).dropna()
+    rows = df.select(*cols).dropna().select(*e, "_time", "_rec", *y)
     out_schema = T.StructType(
-        [T.StructField(n, T.LongType()) for n in [*e, *y, "shard", "_r0", "_r1", "_t0", "_t1", "n"]]
+        [T.StructField(n, T.LongType()) for n in [*e, *y, "_range", "_r0", "_r1", "_t0", "_t1", "n"]]
         + [T.StructField("_head", T.BooleanType()), T.StructField("_tail", T.BooleanType())]
     )
-
-    def stream(part: DataFrame, least: int, edges: bool) -> DataFrame:
-        by = [*e, "shard"]
-        return (
-            part.select(*e, F.col("shard").cast("long").alias("shard"), "_time", "_rec", *y)
-            .repartition(*by)
-            .sortWithinPartitions(*by, "_time", "_rec", *y)
-            .mapInArrow(_Runs(len(by), len(y), max_gap, least, edges), out_schema)
-        )
-
-    split = split_hot(rows, e, "_time", target_rows, rows.select(*e, "_time"))
-    out = stream(split.cold.withColumn("shard", F.lit(0)), min_run, False).drop("shard", "_head", "_tail")
-    if split.hot is not None:
-        hot = materialize(stream(split.hot.drop("_bounds"), min_run, True), "runs")
-        at_edge = F.col("_head") | F.col("_tail")
-        inner = hot.where(~at_edge)
-        w = W.partitionBy(*e).orderBy("shard", "_t0", "_r0")
-        joins = F.lag("_tail").over(w) & F.col("_head") & (F.lag("shard").over(w) != F.col("shard"))
-        for s in y:
-            joins = joins & (F.lag(s).over(w) == F.col(s))
-        if max_gap is not None:
-            joins = joins & (F.col("_t0") - F.lag("_t1").over(w) <= max_gap)
-        stitched = (
-            hot.where(at_edge)
-            .withColumn("_opens", (~F.coalesce(joins, F.lit(False))).cast("int"))
-            .withColumn("_run", F.sum("_opens").over(w.rowsBetween(W.unboundedPreceding, 0)))
-            .groupBy(*e, *y, "_run")
-            .agg(
-                F.min_by("_r0", F.struct("_t0", "_r0")).alias("_r0"),
-                F.max_by("_r1", F.struct("_t1", "_r1")).alias("_r1"),
-                F.min("_t0").alias("_t0"),
-                F.max("_t1").alias("_t1"),
-                F.sum("n").alias("n"),
-            )
-            .where(F.col("n") >= min_run)
+    found = _Runs(len(e), len(y), max_gap, min_run)
+    local = materialize(in_ranges(rows, [*e, "_time", "_rec"], y).mapInArrow(found, out_schema), "runs")
+    at_edge = F.col("_head") | F.col("_tail")
+    w = W.partitionBy(*e).orderBy("_range", "_t0", "_r0")
+    joins = F.lag("_tail").over(w) & F.col("_head") & (F.lag("_range").over(w) != F.col("_range"))
+    for s in y:
+        joins = joins & (F.lag(s).over(w) == F.col(s))
+    if max_gap is not None:
+        joins = joins & (F.col("_t0") - F.lag("_t1").over(w) <= max_gap)
+    stitched = (
+        local.where(at_edge)
+        .withColumn("_opens", (~F.coalesce(joins, F.lit(False))).cast("int"))
+        .withColumn("_run", F.sum("_opens").over(w.rowsBetween(W.unboundedPreceding, 0)))
+        .groupBy(*e, *y, "_run")
+        .agg(
+            F.min_by("_r0", F.struct("_t0", "_r0")).alias("_r0"),
+            F.max_by("_r1", F.struct("_t1", "_r1")).alias("_r1"),
+            F.min("_t0").alias("_t0"),
+            F.max("_t1").alias("_t1"),
+            F.sum("n").alias("n"),
         )
-        for part in (inner, stitched):
-            out = out.unionByName(part.select(*out.columns))
+        .where(F.col("n") >= min_run)
+    )
+    names = [*e, *y, "_r0", "_r1", "_t0", "_t1", "n"]
+    out = local.where(~at_edge).select(*names).unionByName(stitched.select(*names))
     back = [F.col(x).cast(df.schema[c].dataType).alias(c) for x, c in zip([*e, *y], [*entity, *symbol])]
     return out.select(
         *back,
@@ -111,99 +99,84 @@ def collapse_runs(
 
 
 class _Runs:
-    """Finds the runs of sorted sequences, Arrow batch by Arrow batch.
+    """Finds the runs of a range's sorted sequences, Arrow batch by Arrow batch.
 
-    The last run of a batch stays open as (ends, count), however long it
-    grows, and is joined with the first run of the next batch.
+    The last run of a batch stays open as (ends, count), however long it grows,
+    and is joined with the first run of the next batch.  The first and the last
+    run of the range are given whatever their length, marked as head and tail.
     """
 
-    def __init__(self, n_keys: int, n_symbols: int, max_gap: int | None, least: int, edges: bool):
-        self.n_keys, self.n_symbols, self.max_gap, self.least, self.edges = n_keys, n_symbols, max_gap, least, edges
+    def __init__(self, n_keys: int, n_symbols: int, max_gap: int | None, least: int):
+        self.n_keys, self.n_symbols, self.max_gap, self.least = n_keys, n_symbols, max_gap, least
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nk = self.n_keys
-        codes: dict[tuple, int] = {}
+        nk, at_range = self.n_keys, range_number()
         last = None  # identity of the last delivery
         tail = None  # the open run: [keys, symbols, r0, r1, t0, t1, n, head]
-        # every run is needed where shards are stitched: a shard's own first and last run
-        pattern = re.compile(r"(.)\1*" if self.edges or self.least < 2 else r"(.)\1+", re.S)
-        for b in batches:
+        pattern = re.compile(r"(.)\1*" if self.least < 2 else r"(.)\1+", re.S)
+        for b in (whole.slice(lo, MAX_SYMBOLS) for whole in batches for lo in range(0, whole.num_rows, MAX_SYMBOLS)):
             cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            if not b.num_rows:
-                continue
-            ident = cols[: nk + 2]
             fresh = np.zeros(b.num_rows, bool)
-            for x in ident:
+            for x in cols[: nk + 2]:
                 fresh[1:] |= x[1:] != x[:-1]
-            fresh[0] = last is None or any(x[0] != v for x, v in zip(ident, last))
-            last = [x[-1] for x in ident]
+            fresh[0] = last is None or any(x[0] != v for x, v in zip(cols, last))
+            last = [x[-1] for x in cols[: nk + 2]]
             if not fresh.all():
                 cols = [x[fresh] for x in cols]
             n = len(cols[0])
             if not n:
                 continue
             keys, time, rec, sym = cols[:nk], cols[nk], cols[nk + 1], cols[nk + 2 :]
-            new_key = np.zeros(n, bool)
+            breaks = np.zeros(n, bool)
             for x in keys:
-                new_key[1:] |= x[1:] != x[:-1]
-            breaks = new_key.copy()
+                breaks[1:] |= x[1:] != x[:-1]
             if self.max_gap is not None:
                 breaks[1:] |= time[1:] - time[:-1] > self.max_gap
-            uniq, inv = np.unique(np.stack(sym, 1), axis=0, return_inverse=True)
-            for u in map(tuple, uniq.tolist()):
-                if codes.setdefault(u, len(codes)) >= MAX_SYMBOLS:
-                    raise ValueError("too many different symbols for code points")
-            points = np.array([codes[tuple(u)] for u in uniq.tolist()], np.uint32)[inv.reshape(-1)] + _BASE
+            _, code = np.unique(np.stack(sym, 1), axis=0, return_inverse=True)
+            points = code.reshape(-1).astype(np.uint32) + _BASE
             points += (np.cumsum(breaks) % 2 * _PLANE).astype(np.uint32)
             text = points.astype("<u4").tobytes().decode("utf-32-le")
             spans = np.array([m.span() for m in pattern.finditer(text)], np.int64).reshape(-1, 2)
-            change = np.ones(n, bool)
-            change[1:] = points[1:] != points[:-1]
-            starts = np.flatnonzero(change)
-            lead, trail = (starts[1] if len(starts) > 1 else n), starts[-1]  # end of the first run, start of the last
-            joined = False
-            if tail is not None:
+            starts = np.flatnonzero(np.append(True, points[1:] != points[:-1]))
+            lead, trail = int(starts[1]) if len(starts) > 1 else n, int(starts[-1])  # end of the first run, start of the last
+            done = 0  # rows of the batch that belong to a run already given
+            if tail is None:
+                if lead < n:
+                    yield self._rows(keys, sym, rec, time, np.array([0]), np.array([lead]), at_range, head=True)
+                    done = lead
+            else:
                 joined = (
                     all(x[0] == v for x, v in zip(keys, tail[0]))
                     and all(x[0] == v for x, v in zip(sym, tail[1]))
                     and (self.max_gap is None or time[0] - tail[5] <= self.max_gap)
                 )
-                same_key = all(x[0] == v for x, v in zip(keys, tail[0]))
                 if joined:
-                    tail[3], tail[5], tail[6] = rec[lead - 1], time[lead - 1], tail[6] + int(lead)
+                    tail[3], tail[5], tail[6] = rec[lead - 1], time[lead - 1], tail[6] + lead
                     if lead == n:
                         continue
-                yield from self._open(tail, not (joined and not new_key[lead] or not joined and same_key))
-            # closed runs of this batch: neither the joined first one nor the open last one
-            keep = spans[:, 1] <= trail
-            if joined:
-                keep &= spans[:, 0] >= lead
-            s = spans[keep]
-            s = s[s[:, 1] - s[:, 0] >= (1 if self.edges else self.least)]
-            a, z = s[:, 0], s[:, 1] - 1
-            head = new_key[a]
-            if len(head) and a[0] == 0:
-                head[0] = tail is None or any(x[0] != v for x, v in zip(keys, tail[0]))
-            ends_key = np.append(new_key[1:], False)[z]
-            if self.edges:
-                ok = head | ends_key | (z - a + 1 >= self.least)
-                a, z, head, ends_key = a[ok], z[ok], head[ok], ends_key[ok]
-            if len(a):
-                yield self._batch([x[a] for x in keys], [x[a] for x in sym], rec[a], rec[z], time[a], time[z], z - a + 1, head, ends_key)
-            if trail == 0 and not joined:
-                is_head = tail is None or any(x[0] != v for x, v in zip(keys, tail[0]))
-            else:
-                is_head = bool(new_key[trail])
-            tail = [[x[trail] for x in keys], [x[trail] for x in sym], rec[trail], rec[-1], time[trail], time[-1], int(n - trail), is_head]
+                    done = lead
+                yield from self._open(tail, at_range, False)
+            s = spans[(spans[:, 1] <= trail) & (spans[:, 0] >= done)]
+            s = s[s[:, 1] - s[:, 0] >= self.least]
+            if len(s):
+                yield self._rows(keys, sym, rec, time, s[:, 0], s[:, 1], at_range)
+            head = tail is None and done == 0
+            tail = [[x[trail] for x in keys], [x[trail] for x in sym], rec[trail], rec[-1], time[trail], time[-1], n - trail, head]
         if tail is not None:
-            yield from self._open(tail, True)
+            yield from self._open(tail, at_range, True)
 
-    def _open(self, t: list, is_tail: bool) -> Iterator[pa.RecordBatch]:
-        if t[6] >= self.least or self.edges and (t[7] or is_tail):
+    def _open(self, t: list, at_range: int, is_tail: bool) -> Iterator[pa.RecordBatch]:
+        """The run that was open, if it is long enough or at an end of the range."""
+        if t[6] >= self.least or t[7] or is_tail:
             one = lambda v: np.array([v])
-            yield self._batch([one(v) for v in t[0]], [one(v) for v in t[1]], *[one(v) for v in t[2:8]], one(is_tail))
+            yield self._batch([one(v) for v in t[0]], [one(v) for v in t[1]], *[one(v) for v in t[2:7]], at_range, t[7], is_tail)
+
+    def _rows(self, keys, sym, rec, time, a, z, at_range: int, head: bool = False) -> pa.RecordBatch:
+        """The runs from rows ``a`` up to rows ``z``."""
+        return self._batch([x[a] for x in keys], [x[a] for x in sym], rec[a], rec[z - 1], time[a], time[z - 1], z - a, at_range, head, False)
 
-    def _batch(self, keys, sym, r0, r1, t0, t1, n, head, tail) -> pa.RecordBatch:
-        names = [f"_e{i}" for i in range(len(keys) - 1)] + [f"_y{i}" for i in range(len(sym))]
-        arrays = [*keys[:-1], *sym, keys[-1], r0, r1, t0, t1, np.asarray(n, np.int64), np.asarray(head, bool), np.asarray(tail, bool)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], [*names, "shard", "_r0", "_r1", "_t0", "_t1", "n", "_head", "_tail"])
+    def _batch(self, keys, sym, r0, r1, t0, t1, n, at_range: int, head: bool, tail: bool) -> pa.RecordBatch:
+        m = len(r0)
+        names = [f"_e{i}" for i in range(len(keys))] + [f"_y{i}" for i in range(len(sym))]
+        arrays = [*keys, *sym, np.full(m, at_range), r0, r1, t0, t1, np.asarray(n, np.int64), np.full(m, head), np.full(m, tail)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], [*names, "_range", "_r0", "_r1", "_t0", "_t1", "n", "_head", "_tail"])
