@@ -64,10 +64,31 @@ def random_files(seed, n):
     return files
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_huge_fileset_in_shards_gives_the_same(spark, seed):
+def brute(files):
+    """Changes file by file, without ranges."""
+    out, states = [], {}
+    for f in sorted(set(files), key=lambda f: (f[1], f[3], f[0])):
+        state = states.setdefault(f[1], {})
+        for section, text in zip(schema_drift.SECTIONS, f[4:]):
+            new = schema_drift.read_section(section, text)
+            if new is None:
+                continue
+            old = state.get(section)
+            state[section] = new = schema_drift.carry(old, new)
+            if old is not None:
+                out += [(f[0], section, *c[:2]) for c in schema_drift.compare(section, old, new)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed,ranges", [(1, 1), (1, 4), (2, 4), (1, 23), (2, 23), (3, 60)])
+def test_huge_fileset_over_ranges_gives_the_same(spark, seed, ranges):
     files = random_files(seed, 300)
-    assert changes(spark, files, target_files=20) == changes(spark, files)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(ranges))
+    try:
+        assert changes(spark, files) == brute(files)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
 def test_empty_null_and_odd(spark):
@@ -81,7 +102,7 @@ def test_empty_null_and_odd(spark):
 def test_consistent_table(spark):
     files = [file(1, {"a": 1, "b": "x"}), file(2, {"a": 2, "host": "x"}), file(3, '{"a": 1')]
     rows = {r.file_id: r.asDict() for r in schema_drift.consistent_table(spark.createDataFrame(files, SCHEMA)).collect()}
-    assert rows[1]["header_b"] == rows[2]["header_b"] == "x" and rows[3]["header_a"] is None and rows[2]["header_a"] == "2"
+    assert rows[1]["header_host"] == rows[2]["header_host"] == "x" and rows[3]["header_a"] is None and rows[2]["header_a"] == 2
 
 
 def test_consistent_table_holds_each_section(spark):
@@ -97,19 +118,44 @@ def test_consistent_table_holds_each_section(spark):
         "header_a", "perfcounter_name_0", "perfcounter_name_2", "perfcounter_name_10", "fmtdefs_id", "fmtdefs_label", "fmtdefs_x"
     ]
     rows = {r.file_id: tuple(r)[4:] for r in table.collect()}
-    assert rows.pop(1) == ("1", "work", None, "idle", ["1", "2"], ["p", None], None)
-    assert rows.pop(2) == ("2", "Work", None, None, ["3", "4"], ["p", None], ["[1]", '{"y":2}'])
+    assert rows.pop(1) == (1, "work", None, "idle", [1, 2], ["p", None], None)
+    assert rows.pop(2) == (2, "Work", None, None, [3, 4], ["p", None], ["[1]", '{"y":2}'])
     assert rows == {i: (None,) * 7 for i in (3, 4, 5)}
 
 
-def test_names_held_by_one_file_keep_their_columns(spark):
+def test_renames_hold_within_their_fileset(spark):
     files = [
         file(1, {"a": "x"}, None, [{"p": 1}]), file(2, {"b": "x"}, None, [{"q": 1}]), file(3, {"c": "x"}, None, [{"q": 1}]),
-        file(4, {"a": 1, "b": 2}, None, [{"p": 3, "q": 4}], fileset=2),
+        file(4, {"a": 1, "b": 2}, None, [{"p": 3, "q": 4}], fileset=2), file(5, {"a": "y"}, fileset=3),
     ]
     table = schema_drift.consistent_table(spark.createDataFrame(files, SCHEMA))
-    assert {r.file_id: tuple(r)[4:] for r in table.collect()}[4] == ("1", "2", ["3"], ["4"])
-    assert table.columns[4:] == ["header_a", "header_b", "fmtdefs_p", "fmtdefs_q"]
+    assert table.columns[4:] == ["header_a", "header_b", "header_c", "fmtdefs_p", "fmtdefs_q"]
+    rows = {r.file_id: tuple(r)[4:] for r in table.collect()}
+    assert rows[1] == rows[2] == rows[3] == (None, None, "x", None, [1])
+    assert rows[4] == ("1", 2, None, [3], [4]) and rows[5] == ("y", None, None, None, None)
+
+
+def test_no_value_is_lost_where_names_are_used_again(spark):
+    """a becomes b, while an earlier file held another b, and a later one a new a."""
+    files = [file(1, {"a": "x", "b": "z"}), file(2, {"a": "x"}), file(3, {"b": "x"}), file(4, {"b": "x", "a": 5}), file(5, {"b": "x", "n": 5})]
+    cells = schema_drift.consistent_cells(spark.createDataFrame(files, SCHEMA)).collect()
+    by = {}
+    for r in cells:
+        by.setdefault(r.file_id, {})[r.field] = r.value
+    assert by == {1: {"a": "x", "b": "z"}, 2: {"b": "x"}, 3: {"b": "x"}, 4: {"b": "x", "n": "5"}, 5: {"b": "x", "n": "5"}}
+
+
+@pytest.mark.parametrize(
+    "values,kind,shown",
+    [
+        ([1, 2], "bigint", [1, 2]), ([1, 2.5], "double", [1.0, 2.5]), ([1, 2**60], "bigint", [1, 2**60]), ([2.5, 2**60], "string", ["2.5", str(2**60)]),
+        ([2**70, 1], "string", [str(2**70), "1"]), ([True, False], "boolean", [True, False]), ([True, 1], "string", ["true", "1"]), ([[1], None], "string", ["[1]", None]),
+    ],
+)
+def test_types_are_reconciled(spark, values, kind, shown):
+    table = schema_drift.consistent_table(spark.createDataFrame([file(i, {"a": v}) for i, v in enumerate(values)], SCHEMA), ("header",))
+    assert dict(table.dtypes)["header_a"] == kind
+    assert [r.header_a for r in table.orderBy("file_id").collect()] == shown
 
 
 @pytest.mark.parametrize("section", schema_drift.SECTIONS)
@@ -120,15 +166,16 @@ def test_p2_table_has_the_section(spark, section):
     sf = "/root/testdata/sf0.001"
     rows = {r.file_id: {c: v for c, v in r.asDict().items() if c.startswith(f"{section}_")} for r in p2_table(spark, sf).collect()}
     texts = {r.file_id: r[section] for r in spark.read.parquet(f"{sf}/event_file.parquet").collect()}
-    read = {i: schema_drift.read_section(section, t) for i, t in texts.items()}
+    read = {i: schema_drift.parse(section, t) for i, t in texts.items()}
     assert rows.keys() == read.keys() and any(read.values())
-    for i, fields in read.items():
+    for i, value in read.items():
         known = [v for v in rows[i].values() if v is not None]
-        assert len(known) == sum(1 for f in (fields or {}).values() if section == "fmtdefs" or f[1] is not None)
-        if section == "perfcounter_name":
-            assert {c: v for c, v in rows[i].items() if v is not None} == {f"{section}_{n}": f[1] for n, f in (fields or {}).items() if f[1] is not None}
         if section == "fmtdefs":
-            assert {len(v) for v in known} <= {len(json.loads(texts[i]))} if fields else not known
+            assert len(known) == len({k for e in value or () for k in e}) and {len(v) for v in known} <= {len(value or ())}
+        else:
+            assert len(known) == sum(v is not None for v in (value or {}).values())
+        if section == "header" and value:
+            assert sorted(map(str, known)) == sorted(str(v) for v in value.values() if v is not None)
 
 
 def leaf(name, kind="integer", content="1"):
@@ -139,6 +186,41 @@ def tree(name, *children):
     return Node(name, "object", None, {c.name: c for c in children})
 
 
+def least_cost(old, new):
+    """Cost of the cheapest script by trying every matching of the subtrees that vanish and appear."""
+    from tilewright.functions import tree_edit as te
+
+    gone, come = [], []
+    fixed = cost(te._walk(old, new, (), (), gone, come))
+
+    def best(i, free):
+        if i == len(gone):
+            return sum(come[j].node.size() for j in free)
+        a = gone[i]
+        costs = [a.node.size() + best(i + 1, free)]
+        for j in free:
+            if te.can_match(a.node) and te.shape(a.node) == te.shape(come[j].node):
+                costs.append(te.match_cost(a, come[j]) + best(i + 1, free - {j}))
+        return min(costs)
+
+    return fixed + best(0, frozenset(range(len(come))))
+
+
+def random_tree(r, name="", depth=2):
+    children = []
+    for n in r.sample("abcdef", r.randint(0, 4)):
+        children.append(random_tree(r, n, depth - 1) if depth and r.random() < 0.4 else leaf(n, r.choice(["integer", "string"]), r.choice("uv")))
+    return tree(name, *children)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_scripts_are_of_least_cost(seed):
+    r = random.Random(seed)
+    for _ in range(60):
+        old, new = random_tree(r), random_tree(r)
+        assert cost(edit_script(old, new)) == least_cost(old, new)
+
+
 def test_nested_edit_scripts():
     old = tree("", tree("p", leaf("x", "string", "u"), leaf("y")), leaf("q", "string", "z"))
     new = tree("", tree("p", leaf("x2", "string", "u")), tree("o", leaf("y")), leaf("q", "list", "z"))

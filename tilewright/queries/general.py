@@ -23,6 +23,11 @@ def p2_table(spark: SparkSession, sf: str) -> DataFrame:
     return schema_drift.consistent_table(read_table(spark, sf, "event_file"))
 
 
+def p2_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The same table as a row per file and field."""
+    return schema_drift.consistent_cells(read_table(spark, sf, "event_file"))
+
+
 # -- problem 4: per-entity feature table
 
 P4_MIN = 5
@@ -140,6 +145,7 @@ FROM k JOIN m ON k.evtno = m.evtno AND k.fmtid IS NOT DISTINCT FROM m.fmtid AND
 QUERIES = {
     "p2_found": p2_found,
     "p2_table": p2_table,
+    "p2_cells": p2_cells,
     "p4_found": p4_found,
     "p4_features": p4_features,
     "p4_cells": p4_cells,
