@@ -1,8 +1,12 @@
+import os
+
 import pytest
 
 from tilewright.functions import cost
 from tilewright.operators import distribution
 from tilewright.plans import planner
+from tilewright.plans.matrix import Matrix
+from tilewright.plans.settings import Settings
 
 
 def value(spark, column):
@@ -58,10 +62,16 @@ def test_load_affinity_graph(spark):
 
 
 def test_planner(spark):
-    assert planner.offload(1e6, 10.0) == "distributed" and planner.offload(10.0, 10.0) == "local"
+    own = Settings.from_environment({"TILEWRIGHT_THRESHOLD": "50", "TILEWRIGHT_THRESHOLD_SYRK": "2"})
+    assert planner.offload("gemm", 1e6, 10.0, own) == "distributed" and planner.offload("gemm", 100.0, 10.0, own) == "local"
+    assert planner.offload("syrk", 100.0, 10.0, own) == "distributed"
+    dense = Matrix(spark.range(4096).selectExpr("id div 64 as i", "id % 64 as j", "1.0D as v"), 64, 64)
+    assert planner.product_method("gemm", "auto", dense, dense, own) == "coo" and planner.product_method("syrk", "auto", dense, dense, own) == "tile"
+    thin = dense.with_df(dense.df.where("i = j"))
+    assert planner.product_method("syrk", "auto", thin, thin, own) == "coo"
     assert planner.gemm_is_noop(0, 1, 1, 1, 2) and planner.gemm_is_noop(2, 2, 0, 1, 1) and not planner.gemm_is_noop(2, 2, 0, 1, 2)
     with pytest.raises(ValueError):
-        planner.product_method("best", None, None)
+        planner.product_method("gemm", "best", None, None)
 
 
 def test_storage_reads_the_session(spark, monkeypatch):
@@ -73,7 +83,25 @@ def test_storage_reads_the_session(spark, monkeypatch):
     monkeypatch.setattr(storage, "_KEY", "tilewright.no.such.setting")
     own = storage.shared_dir(spark)
     assert own.startswith("file://") and own == storage.shared_dir(spark)
-    assert storage.materialize(spark.range(3), "t").count() == 3
+    made = storage.materialize(spark.range(3), "t")
+    assert made.count() == 3
+    storage.discard(made)
+    assert not os.path.exists(made._tilewright_path.removeprefix("file://"))
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace as Box
+
+    from tilewright.plans import storage
+
+    def session(master):
+        context = Box(master=master, applicationId="app", getConf=lambda: Box(get=lambda k: None))
+        return Box(conf=Box(get=lambda k, d=None: None), sparkContext=context)
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            storage.shared_dir(session(master))
+    assert storage.shared_dir(session("local[4]")).startswith("file://")
 
 
 def test_package_is_sent_once(spark, monkeypatch):

@@ -1,12 +1,14 @@
 """Written intermediate tables in the folder all executors share.
 
 Iterative and two-level operators cut their lineage here.  The folder is the
-one the session names in ``spark.checkpoint.dir``; only where that is unset
-(tests, a laptop) a private temporary folder is made, one per application.
+one the session names in ``spark.checkpoint.dir``; only where that is unset and
+everything runs in one JVM (tests, a laptop) a private temporary folder is made,
+one per application.  On a cluster without the setting it is an error.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,6 +21,8 @@ _own: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session; a private one only where none is set."""
     path = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
+    if not path and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError(f"{_KEY} must name a folder that all executors share")
     if not path:
         app = spark.sparkContext.applicationId
         if app not in _own:
@@ -31,8 +35,8 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return a reader on it.
 
     The written table survives the loss of any executor, and whatever reads
-    it twice does not compute ``df`` twice.  It is removed when the driver
-    that wrote it ends.
+    it twice does not compute ``df`` twice.  It is removed by ``discard``, or
+    when the driver that wrote it ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tilewright-{label}-{uuid.uuid4().hex}"
@@ -40,4 +44,15 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._tilewright_path = path
+    return made
+
+
+def discard(made: DataFrame) -> None:
+    """Remove a table that ``materialize`` wrote; nothing that still has to run may read it."""
+    path = getattr(made, "_tilewright_path", None)
+    if path:
+        spark = made.sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
