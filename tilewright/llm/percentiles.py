@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.storage import materialize
+from ..plans.storage import discard, materialize
 
 BROADCAST_STATE = 200_000
 SALT = 32
@@ -114,7 +114,8 @@ def percentiles(
         state = state.where(is_open)
         if turn == 1:  # what lies in no open interval is done with
             spans = state.groupBy(*by).agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
-            data = materialize(_attach(data, spans, by, n_open).select(*by, "_x"), "inside")
+            everything, data = data, materialize(_attach(data, spans, by, n_open).select(*by, "_x"), "inside")
+            discard(everything)
         counts = (
             _attach(data, state, by, n_open)
             .groupBy(*by, "_n", "_below", "_want", _part(F.col("_x"), F.col("_lo"), F.col("_hi"), integers).alias("_part"))
