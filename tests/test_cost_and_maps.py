@@ -57,6 +57,8 @@ def test_load_affinity_graph(spark):
     r = spark.createDataFrame([(9, 0, 1, 10, False), (9, 1, 1, 8, True)], "task long, device int, kind int, bytes long, readwrite boolean")
     d = spark.createDataFrame([(0, 1), (1, 1), (2, 0)], "device int, kind int")
     assert tuple(distribution.affinity(r, d).first()) == (9, 1, 16, 10, 0)
+    odd = spark.createDataFrame([(9, 7, None, 10, False), (9, 8, None, 3, False), (4, 2, 0, 5, False)], "task long, device int, kind int, bytes long, readwrite boolean")
+    assert sorted(tuple(x) for x in distribution.affinity(odd, d).collect()) == [(4, 2, 5, 0, 0), (9, 0, 0, 0, 13)]
     g = distribution.task_graph(spark, "gemm", 2, 1, 2)
     assert sorted(x.line for x in distribution.to_dot(g).collect()) == ['"gemm_0_0_0" -> "gemm_0_0_1";', '"gemm_1_0_0" -> "gemm_1_0_1";']
 

@@ -94,7 +94,8 @@ def affinity(replicas: DataFrame, devices: DataFrame) -> DataFrame:
     ``replicas``: (task, device, kind, bytes, readwrite) of each valid replica of
     an operand; bytes count twice where it is read and written.  ``devices``:
     (device, kind), the candidates.  Scores compare in the order local, same
-    kind, other; of equals the lowest device wins.
+    kind, other; of equals the lowest device wins.  Replicas of an unknown kind
+    count as other.
 
     A device without a replica of the task scores by its kind alone, so of each
     kind only the lowest such device can win: candidates are the devices that hold
@@ -103,7 +104,7 @@ def affinity(replicas: DataFrame, devices: DataFrame) -> DataFrame:
     weight = F.col("bytes") * F.when(F.col("readwrite"), 2).otherwise(1)
     held = replicas.groupBy("task", F.col("device").alias("_at"), F.col("kind").alias("_kind")).agg(F.sum(weight).alias("_w"))
     sums = held.groupBy("task", "_kind").agg(F.sum("_w").alias("_wk"), F.collect_set("_at").alias("_holders"))
-    per_task = sums.groupBy("task").agg(F.sum("_wk").alias("_all"), F.map_from_entries(F.collect_list(F.struct("_kind", "_wk"))).alias("_by"), F.flatten(F.collect_list("_holders")).alias("_on"))
+    per_task = sums.groupBy("task").agg(F.sum("_wk").alias("_all"), F.map_from_entries(F.collect_list(F.when(F.col("_kind").isNotNull(), F.struct("_kind", "_wk")))).alias("_by"), F.flatten(F.collect_list("_holders")).alias("_on"))
     # the devices of a kind in order: one short list per kind
     kinds = devices.groupBy("kind").agg(F.sort_array(F.collect_set("device")).alias("_devices"))
     lists = kinds.agg(F.collect_list(F.struct("kind", "_devices")).alias("_kinds"))  # one row
