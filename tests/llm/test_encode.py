@@ -71,3 +71,12 @@ def test_another_tokenizer_is_encoded_whole(spark):
 
 def test_empty_table(texts):
     assert encode.encode(texts.limit(0), ["doc_id"]).count() == 0
+
+
+def test_negative_ids_are_an_error(spark):
+    from pyspark.errors import PythonException
+
+    from tilewright.llm.encode import decode
+
+    with pytest.raises(PythonException):
+        decode(spark.createDataFrame([(1, [-1])], "doc_id long, ids array<int>"), ["doc_id"]).collect()

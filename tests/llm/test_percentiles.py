@@ -81,3 +81,13 @@ def test_summaries_combine(spark):
         for p, cell in ((0.5, row.p50), (0.9, row.p90)):
             true = nearest(xs, p)
             assert abs(true - cell) <= abs(true) / 2**7
+
+
+def test_cell_of_the_least_long(spark):
+    from pyspark.sql import functions as F
+
+    from tilewright.llm.percentiles import grid_cell
+
+    rows = spark.createDataFrame([(-(2**63),), (-(2**63) + 1,), (2**63 - 1,), (0,), (-5,)], "x long")
+    cells = [r.c for r in rows.select(grid_cell(F.col("x"), 7).alias("c")).collect()]
+    assert cells[0] == cells[1] == -cells[2] == -(255 << 55) and cells[3:] == [0, -5]

@@ -92,6 +92,13 @@ def p7_decoded(spark: SparkSession, sf: str) -> DataFrame:
     return encode.decode(p7_ids(spark, sf), ["doc_id"])
 
 
+def p7_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    """Of every text, where its first token begins and its last one ends, in characters."""
+    spans = encode.encode_with_offsets(read_table(spark, sf, "documents"), ["doc_id"])
+    return spans.select("doc_id", F.get("starts", F.lit(0)).alias("begins"), F.try_element_at("ends", F.lit(-1)).alias("ends"))
+
+
+SQL_P7_OFFSETS = """SELECT doc_id, CAST(CASE WHEN text <> '' THEN 0 END AS INT) AS begins, CAST(CASE WHEN text <> '' THEN length(text) END AS INT) AS ends FROM documents"""
 SQL_P7_DECODED = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
 
 # -- problem 8: mixing sources to target weights
@@ -171,6 +178,7 @@ QUERIES = {
     "p3_combined": p3_combined,
     "p7_ids": p7_ids,
     "p7_decoded": p7_decoded,
+    "p7_offsets": p7_offsets,
     "p8_found": p8_found,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
@@ -186,6 +194,7 @@ SQL = {
     "p3_percentiles": SQL_P3_PERCENTILES,
     "p3_combined": SQL_P3_COMBINED,
     "p7_decoded": SQL_P7_DECODED,
+    "p7_offsets": SQL_P7_OFFSETS,
     "p8_mix_bytes": SQL_P8_MIX_BYTES,
     "p8_shares_bytes": SQL_P8_SHARES_BYTES,
 }
