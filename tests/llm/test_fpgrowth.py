@@ -38,3 +38,19 @@ def test_kept_rules_and_empty(spark):
     got = class_rules(rows, {"a": 0, "b": 1}, 1, lambda left, c, freq, total: len(left) == 2).collect()
     assert [(list(x["left"]), x["class"], x.freq, x.total) for x in got] == [(["a", "b"], "x", 3, 3)]
     assert class_rules(rows.limit(0), {"a": 0}, 1).count() == 0 and class_rules(rows, {}, 1).count() == 0
+
+
+@pytest.mark.parametrize("seed,least", [(3, 1), (4, 5)])
+def test_every_rule_by_cases(spark, seed, least):
+    r = random.Random(seed)
+    rows = [(r.choice([None, *"CDEFGHIJKLMNOP"]), r.sample("abcdefg", r.randint(0, 6)), r.sample(["x", "y"], r.randint(0, 2))) for _ in range(150)]
+    holds: dict = {}
+    for k, (case, items, classes) in enumerate(rows):
+        for n in range(1, len(items) + 1):
+            for left in itertools.combinations(sorted(items), n):
+                for c in (None, *classes):
+                    holds.setdefault((left, c), set()).add(case or k)
+    want = sorted((list(left), c, len(s), len(holds[left, None])) for (left, c), s in holds.items() if c and len(holds[left, None]) >= least)
+    data = spark.createDataFrame(rows, "case_id string, items array<string>, classes array<string>")
+    got = class_rules(data, {i: k for k, i in enumerate("abcdefg")}, least, longest=None).collect()
+    assert sorted((list(x["left"]), x["class"], x.freq, x.total) for x in got) == want and max(len(x["left"]) for x in got) > 2

@@ -1,3 +1,5 @@
+from itertools import permutations
+
 import pytest
 
 from tilewright.llm import subjects as S
@@ -15,6 +17,34 @@ def test_paragraphs_and_their_ends():
     assert list(S.paragraphs(None)) == list(S.paragraphs(" \n ")) == []
 
 
+SAID = "The dispute about the loan began."
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\r", "\v", "\x85", "\u2028", "\n\f", "\f"])
+def test_paragraphs_at_any_line_end(end):
+    assert list(S.paragraphs(end.join(["Court", f"1 {SAID}", "goes on", f"2 {SAID}"]))) == [SAID.lower() + " goes on", SAID.lower()]
+
+
+@pytest.mark.parametrize("form", ["{})", "{}.)", "¶ {}", "§§ {}", "[ {} ]", "({})\n", "{}.\n\n", "1.{}", "[{}<|endoftext|>]", "</s> <unk>{}."])
+def test_paragraphs_by_any_form_of_number(form):
+    assert list(S.paragraphs("\n".join(f"{form.format(k)} {SAID}" for k in (1, 2)))) == 2 * [SAID.lower()] or form.endswith("\n")
+    assert areas("\n".join(f"{form.format(k)} {SAID}" for k in (1, 2))) == ["bank"]
+
+
+def test_paragraph_number_joined_to_its_text():
+    assert list(S.paragraphs("1.The loan.\n2.The loan.")) == 2 * ["the loan."]
+
+
+def test_numbers_in_running_text_begin_no_paragraph():
+    text = f"1 {SAID} It was in\n1998 that the loan was paid, see\n[18] above, for\n2.5 loans.\n4 Fourth."
+    assert [p[:12] for p in S.paragraphs(text)] == ["the dispute ", "fourth."]
+    assert areas(text) == []
+
+
+def test_special_tokens_inside_words():
+    assert areas("1 The dispute about the lo<|endoftext|>an began.\n2 The dispute about the l</s> <unk>oan began.") == ["bank"]
+
+
 def test_two_paragraphs_are_needed():
     assert areas("1 The dispute about the loan began.\n2 The dispute about a loan went on.") == ["bank"]
     assert areas("1 The dispute about the loan began. The loan was late.") == []
@@ -91,6 +121,24 @@ def test_term_known_only_by_three_words(spark):
     assert [tuple(r) for r in S.subject_areas(docs.where("doc_id = 99"), rules).collect()] == [(99, "farm")]
 
 
+def test_three_items_say_other_than_any_two(spark):
+    """Each of three terms, and any two of them, speak of farms; all three in a sentence do not."""
+    terms = ("orchard", "heifer", "barley")
+    texts = [(w, "farm") for w in permutations(terms, 2)] * 27 + [(w, "bank") for w in permutations(terms, 3)] * 3
+    say = lambda w: "\n".join(f"{k} The {' lay near to the '.join(w)}." for k in (1, 2))
+    docs = spark.createDataFrame([(i, f"D{i}", say(w)) for i, (w, _) in enumerate(texts)], "doc_id long, docket string, text string")
+    rules = S.fit(docs, spark.createDataFrame([(i, a) for i, (_, a) in enumerate(texts)], "doc_id long, subject string"))
+    machine = rules.matcher()
+    assert all(S.areas(say(w), rules, machine) == ["farm"] for w in permutations(terms, 2))
+    assert all("farm" not in S.areas(say(w), rules, machine) for w in permutations(terms, 3))
+
+
+def test_rules_count_cases_and_come_from_the_trees():
+    rules = S.prune([(["loan"], "bank", 8, 10), (["so:the dispute"], S.AGREES, 9, 10), (["a", "b", "loan"], "bank", 0, 40)])
+    assert rules.single == {"loan": {"bank": (8 + S.PRIOR) / 11}} and rules.joint == {("a", "b", "loan"): {"bank": 0.02}}
+    assert S.judge("the dispute", frozenset(["a", "b", "loan"]), rules)[1] < 0.1 < 0.7 < S.judge("the dispute", frozenset(["a", "loan"]), rules)[1]
+
+
 def test_without_labels_or_documents(spark):
     docs, labels, _ = corpus(spark, 12)
     none = S.fit(docs, labels.limit(0))

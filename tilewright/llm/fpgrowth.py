@@ -4,18 +4,18 @@ A transaction is a set of items and the set of its classes.  Items are ranked
 by support and dealt to groups; of each transaction, a group gets the part up
 to its last item of that group (the group-dependent transactions of parallel
 FP-growth), so groups grow their trees independently of each other.  A tree
-node counts its transactions and, per class, those that hold the class.  Growing
-a group's items over their paths to the root gives every set of one or two
-items together with the classes: the rules ``items -> class`` with support and
-confidence, each from exactly one group.
-
-Larger left sides are not grown: a set of n items has 2^n subsets, and what
-more than two items say is redundant for the rules' reader here.
+node keeps, per class, the cases whose transactions end their way at or below
+it.  An item's paths to the root are its conditional pattern base; a
+conditional tree is built of the items that stay frequent in it, and grown in
+turn.  That gives every frequent set of items together with the classes: the
+rules ``items -> class`` with support and confidence, each from exactly one group.
+
+Support is a number of cases: transactions of one case count once for a set of
+items, whatever their number.  A transaction without a ``case_id`` is its own case.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -23,13 +23,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RULE_SCHEMA = "left array<string>, class string, freq long, total long"
+#: Per class the cases that hold it, and all cases under None.
+Cases = dict[str | None, set[int]]
 
 
 class _Node:
-    __slots__ = ("item", "parent", "children", "n", "classes")
+    __slots__ = ("item", "parent", "children", "cases")
 
     def __init__(self, item: int, parent: "_Node | None"):
-        self.item, self.parent, self.children, self.n, self.classes = item, parent, {}, 0, Counter()
+        self.item, self.parent, self.children, self.cases = item, parent, {}, {}
+
+
+def _join(into: Cases, more: Cases) -> None:
+    for c, cases in more.items():
+        held = into.get(c)
+        if held is None:
+            into[c] = set(cases)
+        else:
+            held |= cases
 
 
 class Tree:
@@ -38,8 +49,8 @@ class Tree:
     def __init__(self):
         self.root, self.nodes = _Node(-1, None), {}
 
-    def add(self, items: list[int], classes: list[str], n: int = 1) -> None:
-        """Count a transaction whose items come in order of rank."""
+    def add(self, items: list[int], cases: Cases) -> None:
+        """Count transactions whose items come in order of rank."""
         at = self.root
         for i in items:
             child = at.children.get(i)
@@ -47,27 +58,35 @@ class Tree:
                 child = at.children[i] = _Node(i, at)
                 self.nodes.setdefault(i, []).append(child)
             at = child
-            at.n += n
-            for c in classes:
-                at.classes[c] += n
-
-    def grow(self, item: int) -> Iterator[tuple[tuple[int, ...], int, Counter]]:
-        """(items, support, support per class) of the item, and of it with each item above it."""
-        total, classes = 0, Counter()
-        pairs: dict[int, int] = {}
-        pair_classes: dict[int, Counter] = {}
+            _join(at.cases, cases)
+
+    def grow(self, item: int, least: int, longest: int | None = None) -> Iterator[tuple[tuple[int, ...], Cases]]:
+        """(items, cases) of the item, and of it with every set of items above it that ``least`` cases hold."""
+        held: Cases = {}
         for node in self.nodes.get(item, ()):
-            total += node.n
-            classes.update(node.classes)
-            up = node.parent
+            _join(held, node.cases)
+        if len(held.get(None, ())) < least:
+            return
+        yield (item,), held
+        if longest == 1:
+            return
+        base, above = [], {}
+        for node in self.nodes[item]:
+            path, up = [], node.parent
             while up.item >= 0:
-                pairs[up.item] = pairs.get(up.item, 0) + node.n
-                pair_classes.setdefault(up.item, Counter()).update(node.classes)
+                path.append(up.item)
+                above.setdefault(up.item, set()).update(node.cases[None])
                 up = up.parent
-        if total:
-            yield (item,), total, classes
-        for other, n in pairs.items():
-            yield (other, item), n, pair_classes[other]
+            base.append((path[::-1], node.cases))
+        frequent = {i for i, cases in above.items() if len(cases) >= least}
+        if not frequent:
+            return
+        conditional = Tree()
+        for path, cases in base:
+            conditional.add([i for i in path if i in frequent], cases)
+        for other in sorted(frequent):
+            for items, cases in conditional.grow(other, least, longest and longest - 1):
+                yield (*items, item), cases
 
 
 def class_rules(
@@ -75,20 +94,23 @@ def class_rules(
     ranks: dict[str, int],
     least: int,
     keep: Callable[[tuple[str, ...], str, int, int], bool] | None = None,
+    longest: int | None = 2,
+    expected: Callable[[tuple[str, ...]], set[str]] | None = None,
 ) -> DataFrame:
-    """(left, class, freq, total): rules of one or two items with support of at least ``least``.
+    """(left, class, freq, total): rules with support of at least ``least`` and up to ``longest`` items (None: of any number).
 
-    ``transactions``: (items, classes), arrays of strings.  ``ranks``: the
-    frequent items, the most frequent being 0; other items are left out.
-    ``keep`` tells which rules are passed on.
+    ``transactions``: (items, classes), arrays of strings, and maybe a
+    ``case_id``.  ``ranks``: the frequent items, the most frequent being 0;
+    other items are left out.  ``keep`` tells which rules are passed on, and
+    ``expected`` the classes of a left side to tell of even if no case holds them.
     """
     groups = int(transactions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = sorted(ranks, key=ranks.__getitem__)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            to, parts, tags = [], [], []
-            for items, classes in zip(*[c.to_pylist() for c in b.columns]):
+            to, parts, tags, ids = [], [], [], []
+            for items, classes, case in zip(*[c.to_pylist() for c in b.columns]):
                 path = sorted({ranks[i] for i in items or () if i in ranks})
                 last: dict[int, int] = {}
                 for k, r in enumerate(path):
@@ -96,28 +118,34 @@ def class_rules(
                 for g, k in last.items():
                     to.append(g)
                     parts.append(path[:k])
-                    tags.append(sorted(set(classes or ())))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(to, pa.int32()), pa.array(parts, pa.list_(pa.int32())), pa.array(tags, pa.list_(pa.string()))], ["g", "path", "classes"]
-            )
+                    tags.append(sorted({c for c in classes or () if c is not None}))
+                    ids.append(case)
+            kinds = (pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((to, parts, tags, ids), kinds)], ["g", "path", "classes", "case_id"])
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees: dict[int, Tree] = {}
+        numbers: dict[str, int] = {}
         for b in batches:
-            for g, path, classes, n in zip(*[c.to_pylist() for c in b.columns]):
-                trees.setdefault(g, Tree()).add(path, classes, n)
+            for g, path, classes, ids in zip(*[c.to_pylist() for c in b.columns]):
+                cases = {numbers.setdefault(i, len(numbers)) for i in ids}
+                trees.setdefault(g, Tree()).add(path, dict.fromkeys([None, *classes], cases))
         for g, tree in trees.items():
-            rows = []
             for item in sorted(i for i in tree.nodes if i % groups == g):
-                for items, total, classes in tree.grow(item):
-                    if total < least:
-                        continue
-                    left = tuple(sorted(names[i] for i in items))
-                    rows += [(list(left), c, n, total) for c, n in sorted(classes.items()) if keep is None or keep(left, c, n, total)]
-            kinds = (pa.list_(pa.string()), pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["left", "class", "freq", "total"])
-
-    dealt = transactions.select("items", "classes").mapInArrow(deal, "g int, path array<int>, classes array<string>")
-    # equal parts are counted before they are moved
-    counted = dealt.groupBy("g", "path", "classes").agg(F.count(F.lit(1)).alias("n"))
-    return counted.repartitionById(groups, F.col("g")).mapInArrow(mine, RULE_SCHEMA)
+                rows = []
+                for items, cases in tree.grow(item, least, longest):
+                    left, total = tuple(sorted(names[i] for i in items)), len(cases.pop(None))
+                    for c in expected(left) if expected else ():
+                        cases.setdefault(c, set())
+                    found = sorted((c, len(held)) for c, held in cases.items())
+                    rows += [(list(left), c, n, total) for c, n in found if keep is None or keep(left, c, n, total)]
+                kinds = (pa.list_(pa.string()), pa.string(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["left", "class", "freq", "total"])
+
+    own = F.concat(F.lit("#"), F.monotonically_increasing_id().cast("string"))
+    case = F.coalesce(F.concat(F.lit("="), "case_id"), own) if "case_id" in transactions.columns else own
+    dealt = transactions.select("items", "classes", case.alias("case_id"))
+    dealt = dealt.mapInArrow(deal, "g int, path array<int>, classes array<string>, case_id string")
+    # the cases of equal parts are put together before they are moved
+    joined = dealt.groupBy("g", "path", "classes").agg(F.collect_set("case_id").alias("cases"))
+    return joined.repartitionById(groups, F.col("g")).mapInArrow(mine, RULE_SCHEMA)

@@ -8,12 +8,14 @@ frequent-pattern growth counts items alone and with each class, by cases, so
 that the versions of one ruling count once; an item that reaches neither the
 least support nor, with any class, the least confidence is not grown, and
 neither is an n-gram that says no more than a shorter one inside it.  Parallel
-FP-growth (``llm.fpgrowth``) then mines all rules used: ``phrase -> area``,
-``opening -> agrees``, which tells how often a sentence that opens so is about its
-own document's areas at all (comparisons with other cases and remarks about the
-hearing are not), and ``two items -> area``.  All items of a sentence take part.
-A rule of two items that says about what a single one does is pruned, where it
-is mined and again when all are known.  Confidences are smoothed.
+FP-growth (``llm.fpgrowth``) then mines all rules used, with their confidences:
+``phrase -> area`` and ``several items -> area``, of any number of items and
+counted by cases, and ``opening -> agrees``, counted by sentences, which tells
+how often a sentence that opens so is about its own document's areas at all
+(comparisons with other cases and remarks about the hearing are not).  All items
+of a sentence take part.  Areas that several items never go with, though one of
+them does, give a rule too.  A rule of several items that says about what the
+most specific ones inside it do is pruned.  Confidences are smoothed.
 
 Score.  Every paragraph of every document is matched against all rules at
 once (Aho-Corasick).  A sentence goes to the area with the most evidence,
@@ -24,8 +26,10 @@ and a document has the areas that ``min_paragraphs`` paragraphs state.
 
 Defined results.  Null, empty and blank texts have no area.  Without labels
 there are no rules and no areas.  Text before the first numbered paragraph
-(headnotes, parties) is not looked at; a paragraph goes on over lines up to a
-blank one.  Repeated labels count once, contradicting ones all count.
+(headnotes, parties) is not looked at; a paragraph goes on over lines, whatever
+ends them, up to a blank one.  A number that is not the next one begins no
+paragraph in the middle of a sentence.  Text that looks like special tokens is
+taken out.  Repeated labels count once, contradicting ones all count.
 Documents without a case are their own case.
 """
 
@@ -35,8 +39,9 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Set
 from dataclasses import dataclass, field
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,7 +49,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.storage import materialize
-from .fpgrowth import class_rules
+from .fpgrowth import RULE_SCHEMA, class_rules
 
 MAX_LABELLED = 20_000
 NO_AREA = "none"
@@ -58,7 +63,17 @@ GAIN = 0.05
 PRIOR = 0.1
 KNOWN_SENTENCES = 200_000
 
-_NUMBER = re.compile(r"\s*(?:§ ?\d{1,4}|\[\d{1,4}\]|\(\d{1,4}\)|\d{1,4}\.?)\s+(?=\S)")
+_N = r"\d{1,4}(?:\.\d{1,3}){0,4}"
+#: [1]  (1)  § 1  ¶ 1  1.  1)  1.)  1:  with or without a blank after, or alone on the line; 1 with a blank; and 1.1 for 1.
+_NUMBER = re.compile(
+    rf"\s*(?:(?:[§¶]{{1,2}} ?{_N}\.?|\[ ?{_N} ?\]|\( ?{_N} ?\)|{_N}(?:\.\)?|[):]))(?:\s+|(?=[^\W\d_])|$)|(?P<bare>{_N})\s+(?=\S))"
+)
+_DIGITS = re.compile(r"\d+")
+_PAGE_BREAK = re.compile("(?<=[\n\r\v\x85  ])\f+")
+#: Text that looks like special tokens, inside words and numbers too.
+_TOKENS = r"(?:<\|\w{1,40}\|>|</?s>|<unk>|<pad>)"
+_MARKUP = re.compile(rf"{_TOKENS}(?: ?{_TOKENS})*")
+_FINISHED = re.compile(r"(?:^|[.;:?!…][\"'”’»)\]]*)\s*$")
 _SENTENCE = re.compile(r"(?<=[.;?!])\s+(?=\S)")
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 _BREAK = "\x01"
@@ -67,23 +82,42 @@ _END = re.compile(r"[.;?!\x01](?= )")
 _INVISIBLE = re.compile("[­​-‏⁠︎️﻿]")
 
 
+def _begins(m: re.Match, number: tuple[int, ...], last: tuple[int, ...] | None, before: str | None) -> bool:
+    """Whether a line with a number at its head begins a paragraph.  The number after ``last`` does; another one
+    does not where the line goes on an unfinished sentence (``before``): "... in" / "1998 the loan ..."."""
+    if last is None:
+        return len(number) == 1 or number[-1] == 1
+    k = len(number) - 1
+    if number == (*last, 1) or (k < len(last) and number == (*last[:k], last[k] + 1)):
+        return True
+    if m.end() == len(m.string) or (k and m["bare"]):  # a page number; a decimal fraction
+        return False
+    return before is None or bool(_FINISHED.search(before))
+
+
 def paragraphs(text: str | None) -> Iterator[str]:
     """The numbered paragraphs of a text, without their numbers, in lower case."""
     if not text or text.isspace():
         return
     if not text.isascii():
         text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
+    if "<" in text:
+        text = _MARKUP.sub("", text)
+    if "\f" in text:
+        text = _PAGE_BREAK.sub("", text)
     current: list[str] | None = None
-    for line in text.lower().split("\n"):
+    last: tuple[int, ...] | None = None
+    for line in text.lower().splitlines():
         m = _NUMBER.match(line)
-        if m:
+        number = tuple(map(int, _DIGITS.findall(m[0]))) if m else ()
+        if m and _begins(m, number, last, current and current[-1]):
             if current is not None:
                 yield " ".join(current)
-            current = [line[m.end() :]]
+            current, last = [line[m.end() :]], number
         elif current is not None:
             if line.strip():
                 current.append(line)
-            else:
+            elif any(current):  # else the number stands alone above its text
                 yield " ".join(current)
                 current = None
     if current is not None:
@@ -107,15 +141,29 @@ class Rules:
     """What scoring needs: rules by their phrases, and openings by reliability."""
 
     single: dict[str, dict[str, float]] = field(default_factory=dict)  # phrase -> area -> confidence
-    double: dict[tuple[str, str], dict[str, float]] = field(default_factory=dict)  # (item, item) -> ...
+    joint: dict[tuple[str, ...], dict[str, float]] = field(default_factory=dict)  # sorted items -> ...
     openings: dict[str, float] = field(default_factory=dict)
     base: float = 1.0
 
+    def __post_init__(self) -> None:
+        self.by_item: dict[str, list[tuple[str, ...]]] = {}  # left sides of ``joint`` by their first item
+        for left in self.joint:
+            self.by_item.setdefault(left[0], []).append(left)
+
+    def join(self, left: tuple[str, ...], area: str, confidence: float) -> None:
+        if left not in self.joint:
+            self.by_item.setdefault(left[0], []).append(left)
+        self.joint.setdefault(left, {})[area] = confidence
+
+    def inside(self, items: Set[str]) -> list[tuple[str, ...]]:
+        """The left sides of ``joint`` that these items hold."""
+        return [left for i in items for left in self.by_item.get(i, ()) if items.issuperset(left)]
+
     def matcher(self):
         """Aho-Corasick automaton over all phrases, each with its blanks around."""
         import ahocorasick
 
-        phrases = set(self.single) | {i for pair in self.double for i in pair if not i.startswith("o:")}
+        phrases = set(self.single) | {i for left in self.joint for i in left if not i.startswith("o:")}
         machine = ahocorasick.Automaton()
         for p in phrases:
             machine.add_word(f" {p} ", p)
@@ -159,18 +207,15 @@ def judge(first: str, found: frozenset, rules: Rules) -> tuple[str, float] | Non
     """(area, certainty) of a sentence with this opening and these phrases."""
     evidence: dict[str, float] = defaultdict(float)
     best: dict[str, float] = {}
-    special: dict[tuple[str, str], float] = {}  # (phrase, area) -> confidence of a more specific rule
-    if rules.double:
-        items = sorted(found)
-        pairs = [(a, b) for k, a in enumerate(items) for b in items[k + 1 :]]
-        pairs += [tuple(sorted((a, "o:" + first))) for a in items]
-        for pair in pairs:
-            for area, c in rules.double.get(pair, {}).items():
-                for p in pair:
-                    special[p, area] = min(c, special.get((p, area), 1.0))
+    special: dict[tuple[str, str], tuple[int, float]] = {}  # (phrase, area) -> minus length and confidence of its most specific rule
+    if rules.joint:
+        for left in rules.inside(found | {"o:" + first}):
+            for area, c in rules.joint[left].items():
+                for p in left:
+                    special[p, area] = min((-len(left), c), special.get((p, area), (0, 1.0)))
     for p in found:
         for area, c in rules.single.get(p, {}).items():
-            c = special.get((p, area), c)
+            c = special.get((p, area), (0, c))[1]
             evidence[area] += math.log(c / (1 - c)) * (1 + p.count(" "))
             best[area] = max(best.get(area, 0.0), c)
     if not evidence:
@@ -282,12 +327,12 @@ def _transactions(batches: Iterator[pa.RecordBatch], items: dict[str, dict[str,
 
 
 def _surprise(items: dict[str, dict[str, float]], times: float) -> Callable[[tuple[str, ...], str, int, int], bool]:
-    """Whether a rule of two items differs from what its single items say by more than chance; single ones are all passed on."""
+    """Whether a rule of several items differs from what its single items say by more than chance; single ones are all passed on."""
 
     def keep(left: tuple[str, ...], area: str, freq: int, total: int) -> bool:
         if len(left) == 1:
-            return area in (AGREES, DIFFERS) if left[0].startswith("o:") else area in items.get(left[0], {})
-        if area in (AGREES, DIFFERS, NO_AREA):
+            return area in (AGREES, DIFFERS) or area in items.get(left[0], {})
+        if area == NO_AREA:
             return False
         general = [items[p][area] for p in left if area in items.get(p, {})]
         if not general:
@@ -313,43 +358,78 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     if not items:
         return Rules()
     baskets = sample.mapInArrow(lambda it: _transactions(it, items), "case_id string, items array<string>, classes array<string>")
-    baskets = materialize(baskets.distinct().select("items", "classes"), "baskets")
-    support = max(2, baskets.count() // 20_000)
-    # openings of the least support are items too
-    found = baskets.select(F.explode("items").alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("n"))
-    found = found.where((F.col("n") >= support) | ~F.col("i").startswith("o:"))
+    baskets = materialize(baskets.distinct(), "baskets")
+    # phrases are counted by cases, what a sentence's opening says by sentences
+    marks = F.array(F.lit(AGREES), F.lit(DIFFERS))
+    said = F.transform(F.filter("items", lambda i: i.startswith("o:")), lambda i: F.concat(F.lit("s"), i))
+    transactions = baskets.select("case_id", "items", F.array_except("classes", marks).alias("classes"))
+    transactions = transactions.unionByName(baskets.select(F.lit(None).cast("string").alias("case_id"), said.alias("items"), F.array_intersect("classes", marks).alias("classes")))
+    # openings of the least support, in cases or in sentences, are items too
+    found = transactions.select(F.coalesce("case_id", F.monotonically_increasing_id().cast("string")).alias("case"), F.explode("items").alias("i"))
+    found = found.groupBy("i").agg(F.countDistinct("case").alias("n")).where(F.col("n") >= least)
     ranked = [r.i for r in found.orderBy(F.desc("n"), "i").collect()]  # the phrases known and the frequent openings
-    rules = class_rules(baskets, {i: k for k, i in enumerate(ranked)}, 1, _surprise(items, 2.0))
-    return prune(items, [tuple(r) for r in rules.collect()], support)
-
-
-def prune(items: dict[str, dict[str, float]], mined: list, support: int = 2) -> Rules:
-    """Rules without the redundant ones, and the openings' reliability."""
-    rules = Rules()
-    agree: dict[str, tuple[int, int]] = {}
-    pairs = []
-    for left, then, freq, total in mined:
-        if len(left) == 2:
-            pairs.append((tuple(left), then, _smooth(freq, total), total))
-        elif left[0].startswith("o:"):
-            agree[left[0][2:]] = (freq if then == AGREES else total - freq, total)
-        else:
-            rules.single.setdefault(left[0], {})[then] = items[left[0]][then]
-    hits, n = (sum(v[k] for v in agree.values()) for k in (0, 1))
-    rules.base = hits / n if n and hits else 1.0
-    rules.openings = {o: (h + 2 * rules.base) / (t + 2) for o, (h, t) in agree.items()}
-    for pair, area, conf, total in pairs:
-        general = [rules.single[p].get(area, 0.0) for p in pair if p in rules.single]
+    # what no case of several items has, though they say so one by one, is a rule as well
+    expected = lambda left: {area for p in left for area in items.get(p, ())}
+    mined = class_rules(transactions, {i: k for k, i in enumerate(ranked)}, least, _surprise(items, 2.0), None, expected)
+    mined = materialize(mined, "rules")
+    rules = prune([tuple(r) for r in mined.where(F.size("left") <= 2).collect()])
+    # longer rules are pruned where they lie; what is settled for one length is what the next are compared with
+    size = 2
+    while True:
+        longer = mined.where(F.size("left") > size).mapInArrow(partial(_differing, rules=rules), RULE_SCHEMA)
+        found = [tuple(r) for r in longer.collect()]  # few, being pruned
+        if not found:
+            return rules
+        size = min(len(left) for left, *_ in found)
+        first = [r for r in found if len(r[0]) == size]
+        rules = prune(first, rules)
+
+
+def _differs(rules: Rules, left: tuple[str, ...], area: str, conf: float, total: int) -> bool:
+    """Whether a rule says other than the most specific rules inside it."""
+    parts = [part for part in rules.inside(frozenset(left)) if len(part) < len(left) and area in rules.joint[part]]
+    if parts:
+        most = max(map(len, parts))
+        general = [rules.joint[part][area] for part in parts if len(part) == most]
+    else:
+        general = [rules.single[p].get(area, 0.0) for p in left if p in rules.single]
         # the opening's own reliability already explains most of what such a rule says
-        for p in pair:
+        for p in left:
             if p.startswith("o:"):
                 general = [g * min(1.0, rules.openings.get(p[2:], rules.base) / rules.base) for g in general]
-        if total < support or not general or max(general) <= 0:
-            continue
-        g = max(general)
-        chance = 3 * math.sqrt(total * g * (1 - min(g, 0.98))) + 1  # what sampling alone may give
-        if abs(conf - g) > GAIN and total * abs(conf - g) > chance:
-            rules.double.setdefault(pair, {})[area] = min(max(conf, 0.02), 0.98)
+    if not general or max(general) <= 0:
+        return False
+    g = max(general)
+    chance = 3 * math.sqrt(total * g * (1 - min(g, 0.98))) + 1  # what sampling alone may give
+    return abs(conf - g) > GAIN and total * abs(conf - g) > chance
+
+
+def _differing(batches: Iterator[pa.RecordBatch], rules: Rules) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = zip(*[c.to_pylist() for c in b.columns])
+        yield b.filter(pa.array([_differs(rules, tuple(left), area, _smooth(n, total), total) for left, area, n, total in rows], pa.bool_()))
+
+
+def prune(mined: list[tuple[list[str], str, int, int]], rules: Rules | None = None) -> Rules:
+    """Rules without the redundant ones, and the openings' reliability; ``rules`` holds those settled before."""
+    agree: dict[str, tuple[int, int]] = {}
+    if rules is None:
+        rules = Rules()
+        for (first, *rest), then, freq, total in mined:
+            if rest:
+                continue
+            if first.startswith("so:"):
+                agree[first[3:]] = (freq if then == AGREES else total - freq, total)
+            else:
+                rules.single.setdefault(first, {})[then] = _smooth(freq, total)
+        hits, n = (sum(v[k] for v in agree.values()) for k in (0, 1))
+        rules.base = hits / n if n and hits else 1.0
+        rules.openings = {o: (h + 2 * rules.base) / (t + 2) for o, (h, t) in agree.items()}
+    # the shorter are judged before
+    for left, area, freq, total in sorted((r for r in mined if len(r[0]) > 1), key=lambda r: (len(r[0]), r)):
+        conf = _smooth(freq, total)
+        if _differs(rules, tuple(left), area, conf, total):
+            rules.join(tuple(left), area, min(max(conf, 0.02), 0.98))
     return rules
 
 
